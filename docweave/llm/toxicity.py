@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _ASCII_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of a stem; its key in the counts is the stem after a byte that no word has.
+STEM, _MARK = 4, b" "
 _BLANK = bytes.maketrans(_ASCII_PUNCTUATION, b" " * len(_ASCII_PUNCTUATION))
 
 
@@ -51,9 +52,13 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass(frozen=True)
 class SegmentModel:
-    """Word scores and what turns segments into a probability."""
+    """Word scores and what turns segments into a probability.
+
+    A word without a score of its own takes that of its first ``STEM`` bytes, if there is one.
+    """
 
     scores: dict[bytes, float]
+    stems: dict[bytes, float]
     drift: float
     rate: float  # lambda: the positive root of E[exp(lambda s)] = 1 over clean words
     location: float  # log K of the Gumbel law of the largest segment of clean documents
@@ -61,7 +66,8 @@ class SegmentModel:
 
     def segments(self, text: str) -> tuple[list[bytes], list[tuple[int, int, float]]]:
         w = words(text)
-        s = np.fromiter(map(self.scores.get, w, repeat(0.0)), float, len(w)) - self.drift
+        own, stem = self.scores, self.stems.get
+        s = np.array([own[x] if x in own else stem(x[:STEM], 0.0) for x in w], float) - self.drift
         return w, maximal_segments(s)
 
     def features(self, text: str) -> np.ndarray:
@@ -115,55 +121,62 @@ def _karlin_rate(values: np.ndarray, probabilities: np.ndarray) -> float:
 def _model(vocabulary: list[bytes], toxic: np.ndarray, clean: np.ndarray, totals: tuple[float, float], strength: float, z: float, drift: float) -> SegmentModel:
     delta, sure = log_odds(toxic, clean, *totals, strength)
     keep = np.abs(sure) >= z
+    stem = np.array([w[:1] == _MARK for w in vocabulary], bool)
+    stems = {w[1:]: float(d) for w, d, k, s in zip(vocabulary, delta, keep, stem, strict=True) if k and s}
+    known = (toxic + clean >= 5) & ~stem  # known not to tell: its stem doesn't speak for it
+    words_of = {w: float(d) if k else 0.0 for w, d, k, s, o in zip(vocabulary, delta, keep, stem, known, strict=True) if not s and (k or (o and w[:STEM] in stems))}
+    keep, clean = keep & ~stem, np.where(stem, 0.0, clean)
     values = np.concatenate((np.where(keep, delta, 0.0) - drift, [-drift]))
     p = np.append(clean, max(totals[1] - clean.sum(), 0.0))
     rate = _karlin_rate(values, p / max(p.sum(), 1))
-    return SegmentModel({w: float(d) for w, d, k in zip(vocabulary, delta, keep, strict=True) if k}, drift, rate, 0.0)
+    return SegmentModel(words_of, stems, drift, rate, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 20_000, max_words: int = 200_000, strength: float = 0.05, z: float = 2.5, drift: float = 0.05) -> SegmentModel:
+def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 20_000, max_words: int = 200_000, strength: float = 0.05, z: float = 3.0, drift: float = 0.05) -> SegmentModel:
     """Fit on about ``max_documents`` labelled rows outside the held-out fold.
 
-    Words are counted on the executors, by class and by one of two halves of the documents; the
+    Words are counted on the executors, once a document (so a repeated line weighs no more than
+    another), by class and by one of two halves of the documents; the
     ``max_words`` most telling of those in two documents at least come to the driver. Each half's
     documents are then scored by the other half's words, and those features calibrate the result:
     the Gumbel location from clean documents, then a logistic curve. Without labels of both
     classes every document scores the share of label 1 (0.5, if there is none).
     """
     train = common.materialize(common.training_rows(docs, labels, "toxic", max_documents), "toxic_train")
-    word_schema = pa.schema([("word", pa.binary()), ("half", pa.int32()), ("y", pa.int32()), ("n", pa.int64()), ("docs", pa.int64())])
+    word_schema = pa.schema([("word", pa.binary()), ("half", pa.int32()), ("y", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, d = Counter(), Counter()
+        n: Counter = Counter()
         for ids, texts, ys in common.rows(batches, "doc_id", "text", "y"):
             for doc_id, text, y in zip(ids, texts, ys, strict=True):
-                for w, k in Counter(words(text)).items():
-                    n[w, doc_id & 1, y] += k
-                    d[w, doc_id & 1, y] += 1
+                found = set(words(text))
+                for w in found | {_MARK + w[:STEM] for w in found}:
+                    n[w, doc_id & 1, y] += 1
         keys = list(n)
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
-            yield common.batch(word_schema, [[k[0] for k in part], [k[1] for k in part], [k[2] for k in part], [n[k] for k in part], [d[k] for k in part]])
+            yield common.batch(word_schema, [[k[0] for k in part], [k[1] for k in part], [k[2] for k in part], [n[k] for k in part]])
 
-    counts = common.arrow_map(train, count, "word binary, half int, y int, n bigint, docs bigint")
+    counts = common.arrow_map(train, count, "word binary, half int, y int, n bigint")
     table = common.materialize(
-        counts.groupBy("word").agg(*(F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)), F.sum("docs").alias("docs")),
+        counts.groupBy("word").agg(*(F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1))),
         "toxic_words",
     )
     names = ["n00", "n01", "n10", "n11"]
-    totals = [float(x or 0) for x in table.agg(*(F.sum(n) for n in names)).first()]
+    is_word = F.substring("word", 1, 1) != F.lit(_MARK)
+    totals = [float(x or 0) for x in table.where(is_word).agg(*(F.sum(n) for n in names)).first()]
     n_clean, n_toxic = totals[0] + totals[2], totals[1] + totals[3]
     if not n_clean or not n_toxic:
         y = [r[0] for r in train.select("y").collect()]
         share = float(np.mean(y)) if y else 0.5
         odds = float(np.log(share / (1 - share))) if 0 < share < 1 else (0.0 if not y else (6.0 if share else -6.0))
-        return SegmentModel({}, drift, 1.0, 0.0, (0.0, 0.0, 0.0, odds))
+        return SegmentModel({}, {}, drift, 1.0, 0.0, (0.0, 0.0, 0.0, odds))
     expected = (F.col("n00") + F.col("n10")) / n_clean * n_toxic
     gap = F.abs(F.col("n01") + F.col("n11") - expected) / F.sqrt(expected + F.col("n01") + F.col("n11") + 1)
-    told = table.where("docs >= 2").orderBy(gap.desc(), "word").limit(max_words).select("word", *names).toPandas()
+    told = table.where("n00 + n01 + n10 + n11 >= 2").orderBy(gap.desc(), "word").limit(max_words).select("word", *names).toPandas()
     vocabulary = [bytes(w) for w in told["word"]]
     n = {k: told[k].to_numpy(float) for k in names}
-    halves = [_model(vocabulary, n[f"n{h}1"], n[f"n{h}0"], (totals[2 * h + 1], totals[2 * h]), strength, z, drift) if totals[2 * h] and totals[2 * h + 1] else SegmentModel({}, drift, 1.0, 0.0) for h in (0, 1)]
+    halves = [_model(vocabulary, n[f"n{h}1"], n[f"n{h}0"], (totals[2 * h + 1], totals[2 * h]), strength, z, drift) if totals[2 * h] and totals[2 * h + 1] else SegmentModel({}, {}, drift, 1.0, 0.0) for h in (0, 1)]
     whole = _model(vocabulary, n["n01"] + n["n11"], n["n00"] + n["n10"], (n_toxic, n_clean), strength, z, drift)
     shared = train.sparkSession.sparkContext.broadcast(halves)
 
@@ -194,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 20_000, max_
             [np.log1p(len(v)) for v in significant],
         )
     )
-    return SegmentModel(whole.scores, drift, whole.rate, location, tuple(common.logistic(x, y)))
+    return SegmentModel(whole.scores, whole.stems, drift, whole.rate, location, tuple(common.logistic(x, y)))
 
 
 def score(docs: DataFrame, model: SegmentModel) -> DataFrame:
