@@ -154,3 +154,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+BITMAP_MOST = 24
+
+
+def bitmap(df: DataFrame, key: Column, n: int) -> tuple[int, np.ndarray]:
+    """(bits, bit array) of the hashed keys of ``df``: a filter with false positives only.
+
+    16 places a key, but never more than 2 ** BITMAP_MOST (2 MB), whatever the size of ``df``: with
+    far more keys it lets all pass and what follows is still right.
+    """
+    bits = min(BITMAP_MOST, max(10, (16 * n).bit_length()))
+    place = bitmap_place(key, bits)
+    words = df.select((place / 32).cast("int").alias("w"), (place % 32).cast("int").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).collect()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    for r in found:
+        out[r.w] = r.m & 0xFFFFFFFF
+    return bits, np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def bitmap_place(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << bits))
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """Left join of ``rows`` to one row a ``key``, with hot keys kept out of the shuffle.
+
+    Keys that hold a thousandth of ``n_rows`` rows or more are a thousand at most: they are
+    broadcast. ``groups`` should be a written table, for it is read twice.
+    """
+    is_hot = F.col(size) * 1000 >= n_rows
+    hot = F.broadcast(groups.where(is_hot))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.where(~is_hot), key, "left"))
