@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, jaccard, langid, packing, quality, toxicity
+from . import common, exact_dedup, jaccard, langid, mixing, packing, quality, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (common.fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(_table(spark, sf_dir, "documents"), entropy_share=0.99, max_repeats=4.0)
+    return mix.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "copies")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), percent=75, words=5)
 
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_topk_search": op7_topk_search,
+    "op8_mixing": op8_mixing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
 }
@@ -62,4 +74,10 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op7_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS comps FROM embeddings),
+        s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.comps, b.comps) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
