@@ -230,3 +230,19 @@ def score(docs: DataFrame, model: SegmentModel) -> DataFrame:
             yield common.batch(schema, [ids, common.sigmoid(np.array(x) @ weights + bias).tolist(), spans])
 
     return common.arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, score double, passages array<struct<begin:int,end:int,score:double>>")
+
+
+def reject(docs: DataFrame, model: SegmentModel, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        weights, bias = np.array(m.weights[:-1]), m.weights[-1]
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                x = np.array([m.features(t or "") for t in part.column(part.schema.get_field_index("text")).to_pylist()])
+                yield part.filter(pa.array(common.sigmoid(x @ weights + bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
