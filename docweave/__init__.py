@@ -1,0 +1,3 @@
+"""docweave: document retrieval and analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"

@@ -1,0 +1,49 @@
+"""Retrieval quality: hit ranks, recall, reciprocal rank, and calibration of the relevance floor."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+
+
+def match_keys(source_path: Column, location: Column, filename: Column) -> Column:
+    """Lower-cased names under which a result may be expected: the three and their base names."""
+    keys = F.array(source_path, location, filename, X.filename(source_path), X.filename(location), X.filename(filename))
+    return F.array_distinct(F.transform(F.array_compact(keys), F.lower))
+
+
+def matches(keys: Column, needle: Column) -> Column:
+    n = F.lower(X.strip(needle))
+    return (n != "") & F.exists(keys, lambda k: F.contains(k, n))
+
+
+def first_hit_ranks(golden: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, scored, rank): place of the first result with an expected name, null if none.
+
+    golden: query_id, expect array. results: query_id, place, keys. Both are as small as a golden
+    set times k.
+    """
+    want = golden.select("query_id", F.explode_outer("expect").alias("needle"))
+    hit = results.join(want, "query_id").where(matches(F.col("keys"), F.col("needle"))).groupBy("query_id").agg(F.min("place").alias("rank"))
+    return golden.select("query_id", (F.size("expect") > 0).alias("scored")).join(hit, "query_id", "left")
+
+
+def metrics(ranks: DataFrame) -> DataFrame:
+    """n_scored, recall, hit_at_1 and mrr (4 digits) over the queries that expect something."""
+    s = ranks.where("scored")
+    return s.agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        F.round(F.avg(F.col("rank").isNotNull().cast("double")), 4).alias("recall"),
+        F.round(F.avg(F.coalesce((F.col("rank") == 1).cast("double"), F.lit(0.0))), 4).alias("hit_at_1"),
+        F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 4).alias("mrr"),
+    )
+
+
+def calibrate(scores: DataFrame) -> DataFrame:
+    """Per corpus: the worst on-topic and best off-topic top score, and a floor half-way between them
+    if they are apart. scores: corpus, on_topic, score."""
+    s = scores.groupBy("corpus").agg(F.min(F.when(F.col("on_topic"), F.col("score"))).alias("on_min"), F.max(F.when(~F.col("on_topic"), F.col("score"))).alias("off_max"))
+    apart = F.col("on_min") - F.col("off_max")
+    return s.withColumn("separation", F.round(apart, 4)).withColumn("suggested", F.when(apart > 0, F.round(1 - (F.col("on_min") + F.col("off_max")) / 2, 4)))

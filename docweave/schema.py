@@ -1,0 +1,10 @@
+"""Table schemas, as DDL."""
+
+DOCUMENTS = "corpus string, source_path string, filename string, file_hash string, file_size bigint, modified_at timestamp, markdown string"
+CHUNKS = (
+    "corpus string, source_path string, pos bigint, chunk_id string, heading string, text string, char_offset bigint, "
+    "char_count bigint, summary string, metadata map<string,string>, heading_path array<string>, section_id string, embedding array<float>"
+)
+FILES = "corpus string, source_path string, file_hash string, file_size bigint, modified_at timestamp"
+CORPORA = "corpus string, topic string, weight double, max_distance double, corpus_ord int"
+SPANS = "doc string, page int, block int, block_type int, line int, span int, text string, size double"
