@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,6 +54,17 @@ def signature(found: np.ndarray) -> int:
     return int(common.mix64(np.array([total]))[0].astype(np.int64))
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes in as many bits as the power of two from its size on (64 at least).
+
+    The Hamming distance of two sketches is at most the size of the sets' symmetric difference, and
+    so is that of a sketch and one twice as long folded in half.
+    """
+    bits = 1 << max(6, (len(found) - 1).bit_length())
+    parity = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")
+
+
 @dataclass(frozen=True)
 class Plan:
     """What every task must agree on to index sets alike."""
@@ -110,9 +121,9 @@ def required(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, shingles, signature) of each row; kind 1: (hash, count) of shingles that a
+    """kind 0: (doc_id, shingles, signature, sketch) of each row; kind 1: (hash, count) of shingles that a
     task saw often; kind 2: sums of a task's counts and their squares."""
-    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -134,7 +145,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         for ids, texts in common.rows(batches, "doc_id", "text"):
             found = [shingles(t, words) for t in texts]
             sigs = [signature(f) for f in found]
-            yield common.batch(schema, [[0] * len(ids), ids, [len(f) for f in found], sigs])
+            yield common.batch(schema, [[0] * len(ids), ids, [len(f) for f in found], sigs, [sketch(f) for f in found]])
             for f, s in zip(found, sigs, strict=True):
                 if s not in seen:  # equal sets count once a task
                     seen.add(s)
@@ -146,9 +157,9 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         count()
         top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[: 1 << 14]
         hashes = np.array([h for h, _ in top], np.uint64).view(np.int64).tolist()
-        yield common.batch(schema, [[1] * len(top) + [2], hashes + [totals], [c for _, c in top] + [squares], [0] * (len(top) + 1)])
+        yield common.batch(schema, [[1] * len(top) + [2], hashes + [totals], [c for _, c in top] + [squares], [0] * (len(top) + 1), [None] * (len(top) + 1)])
 
-    return common.arrow_map(docs.select("doc_id", "text"), run, "kind int, x bigint, n bigint, sig bigint")
+    return common.arrow_map(docs.select("doc_id", "text"), run, "kind int, x bigint, n bigint, sig bigint, sketch array<bigint>")
 
 
 def _boundary(sizes: dict[int, int], mean_list: float, percent: int) -> int:
@@ -268,6 +279,23 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(scan, "kind bigint, list bigint, x bigint, y bigint, n bigint, r bigint")
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sketches don't rule a link out: exact, as a sketch never overstates
+    the symmetric difference. It needs about a bit for each shingle instead of eight bytes."""
+    one = classes.select(F.col("sig").alias("x"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
+    two = classes.select(F.col("sig").alias("y"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
+
+    def folded(a: str, b: str) -> Column:
+        """Column a, folded in half if it is longer than column b."""
+        half = F.size(b)
+        return F.when(F.size(a) > half, F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(a))
+
+    both = pairs.select("x", "y").join(two, "y").join(one, "x")
+    near = F.greatest(F.size("sx"), F.size("sy")) <= 2 * F.least(F.size("sx"), F.size("sy"))
+    apart = F.aggregate(F.zip_with(folded("sx", "sy"), folded("sy", "sx"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    return both.where(near & (apart * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny")))).select("x", "y")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (x, y) of ``pairs`` that link, by the sizes of their true intersections.
 
@@ -373,15 +401,15 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     2. Sets are indexed by the heavy-light scheme of ``Plan.keys``; entries travel packed, in
        buckets of about ``bucket_entries``, so few rows cross the shuffle, each once a task.
     3. Each list proposes its first set with each of the others; the best two proposals of a set
-       are verified on true sets. Their components are found.
+       are verified, by sketches that rule most out and then on true sets. Their components are found.
     4. Lists that still hold sets of different components propose all pairs across them that the
        bound on the intersection admits; these are verified as well, so no link is lost, while a
        group of copies that already hangs together makes no pairs.
     """
     profile = common.materialize(_profile(docs, words), "profile")
-    rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), "sig")
+    rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), "sig", "sketch")
     n_rows = rows.count()
-    classes = common.materialize(rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = common.materialize(rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "classes")
     frequent = profile.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "x").limit(most_frequent).collect()
     sums = profile.where("kind = 2").agg(F.sum("x"), F.sum("n")).first()
     small = {r.n_shingles: r.n for r in classes.where(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -400,17 +428,17 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     ends = proposed.select("x", "y", "n", F.explode(F.array("x", "y")).alias("z"))
     best = Window.partitionBy("z").orderBy(F.desc("n"), "x", "y")
     stars = common.materialize(ends.withColumn("i", F.row_number().over(best)).where("i <= 2").select("x", "y").distinct(), "stars")
-    links = _verified(docs, stars, classes, plan)
+    links = _verified(docs, common.materialize(_plausible(stars, classes, percent), "likely"), classes, plan)
     labels = components(links)
     # every proposal not verified yet, and every other pair across components
     rest = proposed.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
     rest = rest.where(~F.coalesce("lx", "x").eqNullSafe(F.coalesce("ly", "y"))).select("x", "y")
     cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, percent, plan.buckets)
-    late = common.materialize(rest.union(cross).distinct().join(stars, ["x", "y"], "left_anti"), "late")
+    late = common.materialize(_plausible(rest.union(cross).distinct().join(stars, ["x", "y"], "left_anti"), classes, percent), "late")
     if not common.is_empty(late):
         labels = components(links.union(_verified(docs, late, classes, plan)))
     joined = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", "copies", F.coalesce("label", "sig").alias("label"))
     least_id = joined.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets"), F.max("copies").alias("most"))
     told = common.materialize(joined.join(least_id.where("sets > 1 or most > 1"), "label").select("sig", "copies", "component_id"), "told")
-    out = common.join_hot(rows, told, "sig", "copies", n_rows)
+    out = common.join_hot(rows.drop("sketch"), told, "sig", "copies", n_rows)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
