@@ -60,6 +60,12 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(corpus, term, df) straight from (corpus, text): one aggregate, combined before its shuffle."""
+    terms = texts.select("corpus", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    return terms.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of (query_id, query): repeated words count as often as they stand."""
     return queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -79,6 +85,26 @@ def bm25_scores(posts: DataFrame, stats: DataFrame, terms: DataFrame, k1: float
     return rows.groupBy("query_id", "corpus", "chunk_id", "ord").agg(exact(F.sum(part)).alias("raw_score")).where("raw_score > 0")
 
 
+def bm25_search(texts: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 of (corpus, chunk_id, ord, text) that has no stored postings.
+
+    The words of the (few, short) queries come to the driver and go into the plan, so a text keeps
+    its length and its matching words only. Those narrow rows cross one exchange, which statistics
+    and scores share: texts are read and cut into words once.
+    """
+    terms = query_terms(queries)
+    asked = [r.asDict() for r in terms.collect()]
+    if not asked:
+        return bm25_scores(postings(texts), corpus_stats(doc_stats(texts)), terms)
+    words = sorted({r["term"] for r in asked})
+    t = X.tokens(F.col("text"))
+    narrow = texts.select("corpus", "chunk_id", "ord", t.alias("t")).select("corpus", "chunk_id", "ord", F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: x.isin(*words)).alias("m"))
+    narrow = narrow.repartition("chunk_id")
+    posts = narrow.select("corpus", "chunk_id", "ord", "dl", F.explode("m").alias("term")).groupBy("corpus", "chunk_id", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    small = texts.sparkSession.createDataFrame([(r["query_id"], r["term"], r["qtf"]) for r in asked], "query_id string, term string, qtf bigint")
+    return bm25_scores(posts, corpus_stats(narrow), small, k1, b)
+
+
 def effective_floor(corpora: DataFrame, call: float | None = None, default: float | None = None) -> DataFrame:
     """Each corpus's largest distance: its own, else the call's, else the default."""
     return corpora.withColumn("floor", F.coalesce("max_distance", F.lit(call).cast("double"), F.lit(default).cast("double")))

@@ -78,8 +78,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = texts(spark, sf_dir)
-    return R.bm25_scores(R.postings(t), R.corpus_stats(R.doc_stats(t)), R.query_terms(query_text(spark, sf_dir)))
+    return R.bm25_search(texts(spark, sf_dir), query_text(spark, sf_dir))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +203,13 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C1}, {TOKENS} SELECT corpus, term, df FROM dfs")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.term_stats(R.postings(texts(spark, sf_dir)))
+    return R.document_frequencies(texts(spark, sf_dir))
+
+
+@query(f"WITH {C1}, {TOKENS} SELECT corpus, doc_id, term, tf, dl FROM posts JOIN dls USING (corpus, doc_id) WHERE length(term) > 10")
+def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form: every text's words and counts."""
+    return R.postings(texts(spark, sf_dir)).where(F.length("term") > 10).select("corpus", F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
 
 
 @query(f"WITH {C1}, {TOKENS} SELECT corpus, doc_id, dl, round(avgdl, 6) AS avgdl, n FROM dls JOIN stats USING (corpus)")
