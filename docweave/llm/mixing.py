@@ -105,7 +105,7 @@ def plan(docs: DataFrame, *, entropy_share: float | None = 0.98, max_repeats: fl
     budget = float(total if budget_tokens is None else budget_tokens)
     t = temperature(sources, entropy_share=entropy_share, max_repeats=max_repeats, budget=budget)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(t.total or 1.0), F.lit(t.exponent)) / F.lit(t.norm)).otherwise(F.lit(0.0))
-    quotas = sources.withColumn("weight", weight).withColumn("quota", F.floor(F.col("weight") * budget))
+    quotas = sources.withColumn("weight", weight).withColumn("quota", F.floor(F.round(F.col("weight") * budget, 6)))
     quotas = quotas.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / block_rows)).cast("int"))
     # rows without tokens cost nothing: they go with every epoch, once at least
     quotas = quotas.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)))
@@ -117,7 +117,7 @@ def plan(docs: DataFrame, *, entropy_share: float | None = 0.98, max_repeats: fl
     cuts = sums.withColumn("before", F.sum("held").over(along) - F.col("held")).where("before <= rest and rest < before + held")
     cuts = common.materialize(cuts.select("key", F.col("block").alias("cut_block"), F.col("order").alias("cut_order"), "before"), "mix_cuts")
     hot_cuts = common.join_hot(dealt, cuts.join(quotas.select("key", F.col("docs").alias("cut_size")), "key"), "key", "cut_size", max(n_rows, 1))
-    inside = hot_cuts.where(F.col("block") == F.col("cut_block"))
+    inside = hot_cuts.where((F.col("block") == F.col("cut_block")) & (F.col("tokens") > 0))
     steps = Window.partitionBy("key", "block").orderBy("place", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(steps)).where("upto <= rest").groupBy("key").agg(F.max(F.struct("place", "doc_id")).alias("last"))
     final = quotas.join(cuts.drop("before"), "key", "left").join(last, "key", "left")
@@ -138,8 +138,8 @@ def _copies(place: Column, doc_id: Column, seed: int) -> Column:
 def mix(docs: DataFrame, *, seed: int = 1, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, n_tokens, weight (of its source), copies.
 
-    A null source is a source of its own; null and empty texts have no tokens and are read with
-    every epoch of their source; repeated rows are rows; an empty table gives no row; other columns
+    A null source is a source of its own; null and empty texts have no tokens, cost nothing and are
+    read with every epoch of their source, and as they come with the last one; repeated rows are rows; an empty table gives no row; other columns
     play no part. See ``plan`` for the options.
     """
     narrow, sources = plan(docs, seed=seed, **options)

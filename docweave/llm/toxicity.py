@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,6 +51,10 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(b), int(e), r - l) for b, e, l, r, _ in stack]
 
 
+def half_of(doc_id: int) -> int:
+    return zlib.crc32(f"half {doc_id}".encode()) & 1
+
+
 @dataclass(frozen=True)
 class SegmentModel:
     """Word scores and what turns segments into a probability.
@@ -104,17 +109,18 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: floa
 
 
 def _karlin_rate(values: np.ndarray, probabilities: np.ndarray) -> float:
-    """The positive lambda with sum p exp(lambda v) = 1, by bisection (mean < 0 < max)."""
-    low, high = 0.0, 1.0
-    if values.max(initial=-1) <= 0:
+    """The positive lambda with sum p exp(lambda v) = 1, by bisection (mean < 0 < max); 1 if no
+    value is positive or the mean isn't negative."""
+    values, p = values[probabilities > 0], probabilities[probabilities > 0]
+    if values.max(initial=-1) <= 0 or float(p @ values) >= 0:
         return 1.0
-    for _ in range(60):
-        if float(np.sum(probabilities * np.exp(high * values))) >= 1:
-            break
-        low, high = high, high * 2
+    logs = np.log(p)
+    low, high = 0.0, 1.0
+    while np.logaddexp.reduce(logs + high * values) < 0 and high < 1e3:
+        low, high = high, 2 * high
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if float(np.sum(probabilities * np.exp(mid * values))) < 1 else (low, mid)
+        low, high = (mid, high) if np.logaddexp.reduce(logs + mid * values) < 0 else (low, mid)
     return high
 
 
@@ -127,7 +133,7 @@ def _model(vocabulary: list[bytes], toxic: np.ndarray, clean: np.ndarray, totals
     words_of = {w: float(d) if k else 0.0 for w, d, k, s, o in zip(vocabulary, delta, keep, stem, known, strict=True) if not s and (k or (o and w[:STEM] in stems))}
     keep, clean = keep & ~stem, np.where(stem, 0.0, clean)
     values = np.concatenate((np.where(keep, delta, 0.0) - drift, [-drift]))
-    p = np.append(clean, max(totals[1] - clean.sum(), 0.0))
+    p = np.append(clean + 0.5 * keep, max(totals[1] - clean.sum(), 0.0))  # half a count for words clean rows lack
     rate = _karlin_rate(values, p / max(p.sum(), 1))
     return SegmentModel(words_of, stems, drift, rate, 0.0)
 
@@ -151,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 20_000, max_
             for doc_id, text, y in zip(ids, texts, ys, strict=True):
                 found = set(words(text))
                 for w in found | {_MARK + w[:STEM] for w in found}:
-                    n[w, doc_id & 1, y] += 1
+                    n[w, half_of(doc_id), y] += 1
         keys = list(n)
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
@@ -185,9 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 20_000, max_
         for ids, texts, ys in common.rows(batches, "doc_id", "text", "y"):
             made = []
             for doc_id, text, y in zip(ids, texts, ys, strict=True):
-                model = shared.value[1 - (doc_id & 1)]
+                half = half_of(doc_id)
+                model = shared.value[1 - half]
                 w, found = model.segments(text)
-                made.append((doc_id & 1, y, len(w), sorted((model.rate * s for *_, s in found), reverse=True)[:64]))
+                made.append((half, y, len(w), sorted((model.rate * s for *_, s in found), reverse=True)[:64]))
             yield common.batch(schema, [list(c) for c in zip(*made, strict=True)])
 
     seen = common.arrow_map(train, largest, "half int, y int, words bigint, sums array<double>").toPandas()
@@ -245,4 +252,4 @@ def reject(docs: DataFrame, model: SegmentModel, *, threshold: float = 0.5) -> D
                 x = np.array([m.features(t or "") for t in part.column(part.schema.get_field_index("text")).to_pylist()])
                 yield part.filter(pa.array(common.sigmoid(x @ weights + bias) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.arrow_map(docs, run, docs.schema)
