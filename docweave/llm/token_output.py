@@ -65,16 +65,16 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, parts: i
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, width, bytearray(dictionary))], "dict_hash string, width int, dictionary binary").write.parquet(f"{path}/dictionary")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("doc_id").cast("double"))) if bounds else F.lit(0)
+    bounds = np.array(sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = tokens.encoder(vocabulary).many
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
         for ids, texts in common.rows(batches, "doc_id", "text"):
+            part = [0 if i is None else int(np.searchsorted(bounds, float(i), "right")) for i in ids]
             raw = [r + tokens.END for r in many([t or "" for t in texts])]
-            yield common.batch(schema, [ids, [len(r) // 4 for r in raw], [pack.compress(_narrow(r, width)) for r in raw]])
+            yield common.batch(schema, [part, ids, [len(r) // 4 for r in raw], [pack.compress(_narrow(r, width)) for r in raw]])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, int, bytes]] = []
@@ -101,8 +101,8 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, parts: i
         if held:
             yield dump()
 
-    encoded = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id bigint, n bigint, frame binary")
-    dealt = encoded.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "frame")
+    encoded = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id bigint, n bigint, frame binary")
+    dealt = encoded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "frame")
     common.arrow_map(dealt.select("part", "doc_id", "n", "frame"), lay, BLOCK).write.parquet(f"{path}/blocks")
 
 
