@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,8 +86,33 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and beside a JVM every page counts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """``mapInArrow`` that trims its worker's memory when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+def trimmed(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of groups that trims its worker's memory after large ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        if table.nbytes > 1 << 22:
+            trim()
+        return out
+
+    return run
 
 
 def rows(batches: Iterator[pa.RecordBatch], *names: str, size: int = 256) -> Iterator[tuple[list[Any], ...]]:
