@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -206,6 +207,35 @@ def bitmap_place(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
+def by_bitmap(df: DataFrame, key: Column, bits: int, places: np.ndarray, keep: bool) -> DataFrame:
+    """The rows of ``df``, all columns, whose key's place in a bitmap is set (or, keep=False, isn't)."""
+    mask = df.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = b.num_columns - 1
+            found = mask.value[b.column(last).to_numpy(zero_copy_only=False)]
+            yield b.filter(pa.array(found == keep)).select(list(range(last)))
+
+    marked = df.select("*", bitmap_place(key, bits).alias(f"place_{uuid.uuid4().hex}"))
+    return arrow_map(marked, run, df.schema)
+
+
+def without(df: DataFrame, drops: DataFrame, keys: list[tuple[Column, str]]) -> DataFrame:
+    """The rows of ``df`` that no row of the written table ``drops`` matches (nulls equal nulls).
+
+    Rows outside a bounded bitmap of the dropped keys stay at once; only the others are joined, so
+    texts that stay don't cross a shuffle, however many rows go.
+    """
+    hashed = F.xxhash64(*(c for c, _ in keys))
+    bits, places = bitmap(drops, F.xxhash64(*(F.col(n) for _, n in keys)), drops.count())
+    some = by_bitmap(df, hashed, bits, places, True)
+    named = {n: f"{n}_{uuid.uuid4().hex}" for _, n in keys}
+    gone = drops.select(*(F.col(n).alias(m) for n, m in named.items()))
+    same = reduce(lambda a, b: a & b, (c.eqNullSafe(gone[named[n]]) for c, n in keys))
+    return by_bitmap(df, hashed, bits, places, False).unionByName(some.join(gone, same, "left_anti"))
+
+
 def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Left join of ``rows`` to one row a ``key``, with hot keys kept out of the shuffle.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -68,14 +68,17 @@ class CountingQuotientFilter:
         quotients = np.flatnonzero(occupied)[run] + low
         return cls(q, low, quotients.astype(np.uint64) << np.uint64(64 - q) | remainders, counts)
 
-    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        if (self.q, self.low) != (other.q, other.low):
+    @classmethod
+    def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """All in one go: the sorted runs are merged and equal remainders' counts added."""
+        first = filters[0]
+        if any((f.q, f.low) != (first.q, first.low) for f in filters):
             raise ValueError("filters of different slices don't merge")
-        both = np.concatenate((self.fingerprints, other.fingerprints))
-        order = np.argsort(both, kind="stable")  # two sorted runs: a merge
-        both, counts = both[order], np.concatenate((self.counts, other.counts))[order]
+        both = np.concatenate([f.fingerprints for f in filters])
+        order = np.argsort(both, kind="stable")
+        both, counts = both[order], np.concatenate([f.counts for f in filters])[order]
         starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
-        return CountingQuotientFilter(self.q, self.low, both[starts], np.add.reduceat(counts, starts) if len(both) else counts)
+        return cls(first.q, first.low, both[starts], np.add.reduceat(counts, starts) if len(both) else counts)
 
 
 def repeated_fingerprints(prints: DataFrame, n_rows: int, *, slice_rows: int = 100_000, chunk: int = 100_000) -> DataFrame:
@@ -109,14 +112,11 @@ def repeated_fingerprints(prints: DataFrame, n_rows: int, *, slice_rows: int = 1
             yield dump()
 
     def merge(table: pa.Table) -> pa.Table:
-        merged: CountingQuotientFilter | None = None
-        for raw in table.column("filter").to_pylist():
-            one = CountingQuotientFilter.load(raw)
-            merged = one if merged is None else merged.merge(one)
+        merged = CountingQuotientFilter.merge([CountingQuotientFilter.load(raw) for raw in table.column("filter").to_pylist()])
         more = merged.counts > 1
         return pa.table({"fp": merged.fingerprints[more].view(np.int64), "n": merged.counts[more].astype(np.int64)})
 
-    return common.arrow_map(prints, build, "slice bigint, filter binary").groupBy("slice").applyInArrow(merge, "fp bigint, n bigint")
+    return common.arrow_map(prints, build, "slice bigint, filter binary").groupBy("slice").applyInArrow(common.trimmed(merge), "fp bigint, n bigint")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -130,13 +130,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Rows whose fingerprint occurs once are single. The others, with their texts, are grouped by the
     text itself, so equal fingerprints of different texts do no harm; the group's size, largest id
     and digest are pre-aggregated before the shuffle, so a group of any size crosses it as a row a
-    task. The fingerprints of repeated texts are a table on disk: below
-    ``autoBroadcastJoinThreshold`` it is broadcast, else both sides are shuffled by fingerprint.
+    task. A bounded bitmap of the repeated fingerprints keeps most other texts out of that shuffle.
+    Groups of a thousandth of all rows or more are a thousand at most; they reach their rows by a
+    broadcast, so no hot digest is shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = common.materialize(docs.select("doc_id", F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("text_sha256")), "digests")
-    repeated = common.materialize(repeated_fingerprints(digests.select("fp"), digests.count()), "repeated")
-    routed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp")).join(repeated.select("fp"), "fp", "left_semi")
+    n_rows = digests.count()
+    repeated = common.materialize(repeated_fingerprints(digests.select("fp"), n_rows), "repeated")
+    bits, places = common.bitmap(repeated, F.col("fp"), repeated.count())
+    likely = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp"))
+    routed = common.by_bitmap(likely, F.col("fp"), bits, places, True).join(repeated.select("fp"), "fp", "left_semi")
     groups = common.materialize(
         routed.groupBy("text")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -144,7 +148,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"),
         "groups",
     )
-    rows = digests.select("doc_id", "text_sha256").join(groups, "text_sha256", "left")
+    rows = common.join_hot(digests.select("doc_id", "text_sha256"), groups, "text_sha256", "group_size", n_rows)
     single = F.col("group_size").isNull()
     stays = single | F.col("doc_id").eqNullSafe(F.col("keep_id"))
     rows = rows.select(
@@ -170,12 +174,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marks = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept")).alias("stay"))
     drops = common.materialize(marks.where("stay = 0").select("doc_id", "text_sha256"), "drops")
     twins = common.materialize(marks.where("stay > 0 and n > stay").select("doc_id", "text_sha256"), "twins")
-    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-
-    def same(marked: DataFrame) -> Column:
-        return docs["doc_id"].eqNullSafe(marked["doc_id"]) & (digest == marked["text_sha256"])
-
-    left = docs.join(drops, same(drops), "left_anti")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    keys = [(F.col("doc_id"), "doc_id"), (digest, "text_sha256")]
+    left = common.without(docs, drops, keys)
     if common.is_empty(twins):
         return left
-    return left.join(twins, same(twins), "left_anti").unionByName(docs.join(twins, same(twins), "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = docs["doc_id"].eqNullSafe(twins["doc_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == twins["text_sha256"])
+    return common.without(left, twins, keys).unionByName(docs.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"]))
