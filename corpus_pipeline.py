@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     marks = jaccard.join(docs, percent=75, words=5).groupBy("doc_id").agg(F.max(stays).alias("stays"))
     drops = common.materialize(marks.where("not stays").select("doc_id"), "near_drops")
-    return docs.join(drops, docs["doc_id"].eqNullSafe(drops["doc_id"]), "left_anti")
+    return common.without(docs, drops, [(F.col("doc_id"), "doc_id")])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
