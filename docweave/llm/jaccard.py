@@ -135,8 +135,8 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
             if held:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
                 squares, totals = squares + int((c * c).sum()), totals + int(c.sum())
-                top = np.flatnonzero(c >= 4)
-                top = top[np.argsort(-c[top], kind="stable")[: 1 << 14]]
+                top = np.flatnonzero(c >= 2)
+                top = top[np.argsort(-c[top], kind="stable")[: 1 << 15]]
                 for a, b in zip(h[top].tolist(), c[top].tolist(), strict=True):
                     often[a] = often.get(a, 0) + b
             held.clear()
@@ -155,7 +155,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 count()
                 seen.clear()
         count()
-        top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[: 1 << 14]
+        top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[: 1 << 15]
         hashes = np.array([h for h, _ in top], np.uint64).view(np.int64).tolist()
         yield common.batch(schema, [[1] * len(top) + [2], hashes + [totals], [c for _, c in top] + [squares], [0] * (len(top) + 1), [None] * (len(top) + 1)])
 
@@ -276,7 +276,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             }
         )
 
-    return postings.groupBy("bucket").applyInArrow(scan, "kind bigint, list bigint, x bigint, y bigint, n bigint, r bigint")
+    return postings.groupBy("bucket").applyInArrow(common.trimmed(scan), "kind bigint, list bigint, x bigint, y bigint, n bigint, r bigint")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -329,38 +329,60 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan)
     return common.materialize(links.select("x", "y").distinct(), "links")
 
 
-def _cross_pairs(entries: DataFrame, labels: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs of a list whose sets are in different components so far and that may still link."""
+def _apart(one: np.ndarray, others: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, distances) of a sketch to the sketches, by length, that are as long, half or twice as long."""
+    size = len(one)
+    for length, (rows, sketches) in others.items():
+        if length == size:
+            yield rows, np.bitwise_count(sketches ^ one).sum(axis=1, dtype=np.int64)
+        elif 2 * length == size:
+            yield rows, np.bitwise_count(sketches ^ (one[:length] ^ one[length:])).sum(axis=1, dtype=np.int64)
+        elif length == 2 * size:
+            yield rows, np.bitwise_count(sketches[:, :size] ^ sketches[:, size:] ^ one).sum(axis=1, dtype=np.int64)
+
+
+def _cross_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Pairs of a list whose sets are in different components so far and that may still link, by what
+    is left of them from the list's shingle on and by their sketches.
+
+    Lists with the same sets are taken as one, with the largest reach of each set.
+    """
     labelled = entries.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").select("list", "x", "n", "r", F.coalesce("label", "x").alias("label"))
-    mixed = labelled.groupBy("list").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("list")
-    rows = labelled.join(mixed, "list", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
+    mixed = labelled.groupBy("list").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("x")).alias("h")).where("a <> b").select("list", "h")
+    rows = labelled.join(mixed, "list").groupBy("h", "x").agg(F.max("r").alias("r"), F.first("n").alias("n"), F.first("label").alias("label"))
+    rows = rows.join(classes.select(F.col("sig").alias("x"), "sketch"), "x").withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     empty = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
 
     def scan(table: pa.Table) -> pa.Table:
-        name, x, n, r, label = (table.column(c).to_numpy() for c in ("list", "x", "n", "r", "label"))
+        name, x, n, r, label = (table.column(c).to_numpy() for c in ("h", "x", "n", "r", "label"))
         order = np.lexsort((label, name))
+        sketches = table.column("sketch").combine_chunks()
+        flat, ends = sketches.flatten().to_numpy().view(np.uint64), np.asarray(sketches.offsets)
+        ends = ends - ends[0]
         name, x, n, r, label = name[order], x[order], n[order], r[order], label[order]
         cuts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
         out: list[np.ndarray] = []
-        for a, b in zip(cuts, np.r_[cuts[1:], len(name)], strict=True):
-            sizes = np.unique(label[a:b], return_counts=True)
-            largest = sizes[0][np.argmax(sizes[1])]
-            for i in range(a, b):
-                if label[i] == largest:  # its pairs are seen from the other side
-                    continue
-                ok = (label[a:b] != label[i]) & (np.minimum(r[a:b], r[i]) >= required(n[a:b], n[i], percent))
-                ok &= (label[a:b] == largest) | (x[a:b] > x[i])
-                j = a + np.flatnonzero(ok)
-                if len(j):
-                    out.append(np.column_stack((np.minimum(x[i], x[j]), np.maximum(x[i], x[j]))))
-            if sum(map(len, out)) > 500_000:
-                out = [np.unique(np.concatenate(out), axis=0)]
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(name)], strict=True):
+            own = [flat[ends[k] : ends[k + 1]] for k in order[a:b]]
+            lengths = np.array([len(k) for k in own])
+            by_length = {int(m): (at, np.stack([own[k] for k in at])) for m in np.unique(lengths) for at in [np.flatnonzero(lengths == m)]}
+            xs, ns, rs, ls = x[a:b], n[a:b], r[a:b], label[a:b]
+            names, sizes = np.unique(ls, return_counts=True)
+            largest = names[np.argmax(sizes)]
+            for i in np.flatnonzero(ls != largest).tolist():  # the largest one's pairs are seen from the other side
+                for rows, apart in _apart(own[i], by_length):
+                    ok = (ls[rows] != ls[i]) & (np.minimum(rs[rows], rs[i]) >= required(ns[rows], ns[i], percent))
+                    ok &= (ls[rows] == largest) | (xs[rows] > xs[i])
+                    ok &= apart * (100 + percent) <= (100 - percent) * (ns[rows] + ns[i])
+                    if ok.any():
+                        j = rows[ok]
+                        out.append(np.column_stack((np.minimum(xs[i], xs[j]), np.maximum(xs[i], xs[j]))))
         if not out:
             return empty
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table({"x": found[:, 0], "y": found[:, 1]})
 
-    return rows.groupBy("bucket").applyInArrow(scan, "x bigint, y bigint").distinct()
+    return rows.groupBy("bucket").applyInArrow(common.trimmed(scan), "x bigint, y bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -433,7 +455,7 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     # every proposal not verified yet, and every other pair across components
     rest = proposed.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
     rest = rest.where(~F.coalesce("lx", "x").eqNullSafe(F.coalesce("ly", "y"))).select("x", "y")
-    cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, percent, plan.buckets)
+    cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, classes, percent, plan.buckets)
     late = common.materialize(_plausible(rest.union(cross).distinct().join(stars, ["x", "y"], "left_anti"), classes, percent), "late")
     if not common.is_empty(late):
         labels = components(links.union(_verified(docs, late, classes, plan)))
