@@ -6,7 +6,6 @@ everything here, so the work is done in one Arrow map without a shuffle.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
