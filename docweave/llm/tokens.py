@@ -46,16 +46,21 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, words: list[str], space: str) -> list[bytes]:
-        """Ids of words without white space, each after ``space``."""
+        """Ids of words without white space, each after ``space``: many to a line break-joined text,
+        and many such texts to a call, as both cost less than words alone."""
         if not self.joinable:
             return [self.plain(space + w) for w in words]
-        stop = int.from_bytes(self.newline, "little")
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(space + w for w in words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == stop)
-        if len(cuts) != len(words) - 1:
-            return [self.plain(space + w) for w in words]
-        raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        stop, out = int.from_bytes(self.newline, "little"), []
+        parts = [words[at : at + 512] for at in range(0, len(words), 512)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join([space + w for w in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == stop)
+            if len(cuts) != len(part) - 1:
+                out += [self.plain(space + w) for w in part]
+                continue
+            raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+            out += [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        return out
 
     def _learn(self, words: set[str], place: int) -> None:
         if len(self.young[place]) > self.capacity:
@@ -78,8 +83,8 @@ class WordEncoder:
                 young[h] = got
                 heads.discard(h)
         wanted = list({*wanted, *heads})
-        for at in range(0, len(wanted), 512):
-            part = wanted[at : at + 512]
+        for at in range(0, len(wanted), 1 << 14):
+            part = wanted[at : at + (1 << 14)]
             young.update(zip(part, self._encode(part, space), strict=True))
         ends = {t for _, _, t in tails if t not in self.young[0]}
         for t in ends:
