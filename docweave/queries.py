@@ -100,9 +100,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5: an order is a document, a line item a line; quantities and sizes from its numbers."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    li = li.withColumn("n", F.row_number().over(order))
+    li = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
     n, part = F.col("n"), F.col("l_partkey")
     size = F.when(n == 1, 24.0).when((n == 2) & (part % 3 == 0), 18.04).when((n == 2) & (part % 3 == 1), 24.0).when(n == 4, 15.0).otherwise(10.0)
     words = F.when((n == 1) & (part % 2 == 0), F.lit("5.2")).otherwise(F.concat(F.lit("Part- "), part.cast("string"), F.lit(" of "), F.repeat(F.lit("x"), F.when(size == 10.0, 90).otherwise(3))))
