@@ -208,7 +208,7 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {C1}, {TOKENS} SELECT corpus, doc_id, term, tf, dl FROM posts JOIN dls USING (corpus, doc_id) WHERE length(term) > 10")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored form: every text's words and counts."""
-    return R.postings(texts(spark, sf_dir)).where(F.length("term") > 10).select("corpus", F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
+    return R.postings(texts(spark, sf_dir)).select("corpus", F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
 
 
 @query(f"WITH {C1}, {TOKENS} SELECT corpus, doc_id, dl, round(avgdl, 6) AS avgdl, n FROM dls JOIN stats USING (corpus)")

@@ -1,12 +1,14 @@
 """Queries over whole tables, where their SQL covers a share of the rows: whole against brute force, the share against the SQL."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
 import pytest
 from test_queries import rows
 
+from docweave.functions import text as X
 from docweave.queries import QUERIES, SQL
 
 SF = os.environ.get("DOCWEAVE_SF", "/root/testdata/sf0.001")
@@ -44,3 +46,15 @@ def test_markdown_of_every_order(spark, db):
     got = QUERIES["pdf_markdown"](spark, SF).toPandas()
     assert sorted(got.doc.astype(int)) == [r[0] for r in db.execute("SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1").fetchall()]
     assert (got.markdown_sha.notna() == got.valid).all()
+
+
+def test_postings_of_every_term(spark, db):
+    name, long_only = "bm25_postings", " WHERE length(term) > 10"
+    got = QUERIES[name](spark, SF).toPandas()
+    assert SQL[name].endswith(long_only)
+    same(got[got.term.str.len() > 10].copy(), db.execute(SQL[name]).df())
+    same(got, db.execute(SQL[name].removesuffix(long_only)).df())
+    brute = Counter()
+    for doc, t in db.execute("SELECT doc_id, text FROM documents").fetchall():
+        brute.update((doc, w) for w in re.findall(r"\w{2,}", t.lower()) if w not in X.STOP_WORDS)
+    assert {(r.doc_id, r.term): r.tf for r in got.itertuples()} == brute
