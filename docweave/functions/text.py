@@ -139,5 +139,6 @@ def token_sign(token: Column) -> Column:
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """Signed feature hashing of a text's words to a unit vector: the embedder without a model."""
     marks = F.transform(tokens(text, stop=False), lambda t: F.struct(token_bucket(t, dims).alias("b"), token_sign(t).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(marks, lambda m: m["b"] == i), F.lit(0.0), lambda a, m: a + m["s"]))
-    return l2_normalized(sums)
+    # arrays of one element, so that marks and sums are made once a text
+    sums = F.transform(F.array(marks), lambda ms: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(ms, lambda m: m["b"] == i), F.lit(0.0), lambda a, m: a + m["s"])))
+    return F.transform(sums, l2_normalized)[0]

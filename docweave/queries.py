@@ -308,6 +308,13 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.where("value <> 0").select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
+@query()
+def hash_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the default number of dimensions; null texts are empty ones."""
+    v = X.hashed_embedding(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(v, lambda x: F.round(x, 6)).alias("embedding"))
+
+
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e)
 SELECT vec_id, round(CASE WHEN norm = 0 THEN v[1] ELSE v[1] / norm END, 6) AS first, round(CASE WHEN norm = 0 THEN 0 ELSE list_dot_product(v, v) / norm / norm END, 6) AS square FROM n""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries over whole tables, where their SQL covers a share of the rows: whole against brute force, the share against the SQL."""
 
+import hashlib
+import math
 import os
 import re
 from collections import Counter
@@ -58,3 +60,16 @@ def test_postings_of_every_term(spark, db):
     for doc, t in db.execute("SELECT doc_id, text FROM documents").fetchall():
         brute.update((doc, w) for w in re.findall(r"\w{2,}", t.lower()) if w not in X.STOP_WORDS)
     assert {(r.doc_id, r.term): r.tf for r in got.itertuples()} == brute
+
+
+def test_embedding_of_every_document(spark, db):
+    got = {r.doc_id: r.embedding for r in QUERIES["hash_embed_documents"](spark, SF).collect()}
+    texts = dict(db.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert got.keys() == texts.keys()
+    for doc, t in texts.items():
+        want = [0.0] * 64
+        for w in re.findall(r"\w{2,}", (t or "").lower()):
+            h = hashlib.sha256(w.encode()).hexdigest()
+            want[int(h[:8], 16) % 64] += 1 if int(h[8], 16) < 8 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert got[doc] == pytest.approx([x / norm for x in want], abs=1e-6)
