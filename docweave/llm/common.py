@@ -75,15 +75,39 @@ def sampled(df: DataFrame, key: Column, limit: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * limit / n))
 
 
+def stratified(df: DataFrame, key: Column, stratum: str, limit: int) -> DataFrame:
+    """As ``sampled``, but every value of ``stratum`` is in it: a rare one gets a floor of the rows.
+
+    A twentieth of ``limit`` is dealt out evenly as floors (all rows of a value with fewer); values
+    above theirs share the rest by one rate. A value's row of least hash is always drawn.
+    """
+    h = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30))
+    sizes = {r[0]: (r.n, r.least) for r in df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("least")).collect()}
+    if sum(n for n, _ in sizes.values()) <= limit:
+        return df
+    floor = limit // (20 * len(sizes))
+    rare: set = set()
+    while True:
+        left = limit - sum(min(sizes[v][0], floor) for v in rare)
+        n = sum(sizes[v][0] for v in sizes.keys() - rare)
+        more = {v for v in sizes.keys() - rare if sizes[v][0] * left / n < min(sizes[v][0], floor)}
+        if not more:
+            break
+        rare |= more
+    cuts = {v: max(int((1 << 30) * min(m, floor) / m if v in rare else (1 << 30) * left / n), least + 1) for v, (m, least) in sizes.items()}
+    pairs = [F.lit(x) for v in sorted(cuts) for x in (v, cuts[v])]
+    return df.where(h < F.element_at(F.create_map(*pairs), F.col(stratum)))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, y) of about ``limit`` labelled documents outside the held-out fold.
+    """(doc_id, text, y) of about ``limit`` labelled documents of both labels outside the held-out fold.
 
     The label side is bounded by ``limit`` (two numbers a row), so it is broadcast. Labels other
     than 0 and 1 and null ids are ignored; of repeated labels of one id the largest counts.
     """
     y = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
     y = y.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    y = sampled(y.groupBy("doc_id").agg(F.max("y").alias("y")), F.col("doc_id"), limit)
+    y = stratified(y.groupBy("doc_id").agg(F.max("y").alias("y")), F.col("doc_id"), "y", limit)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
 
 

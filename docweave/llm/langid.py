@@ -79,13 +79,14 @@ class MixtureModel:
 
 
 def fit(docs: DataFrame, *, max_documents: int = 20_000, smoothing: float = 0.5, penalty: float = 0.5) -> MixtureModel:
-    """Gram counts by language of about ``max_documents`` rows with a language outside the held-out fold.
+    """Gram counts by language of about ``max_documents`` rows with a language outside the held-out fold,
+    some of each language.
 
     Each task sends one array of counts a language; documents enter with at most 4,000 grams'
     weight each, so that a long one doesn't speak for its language alone.
     """
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").where(F.col("lang").isNotNull() & (common.fold_of(F.col("doc_id")) != 0))
-    train = common.sampled(text, F.col("doc_id"), max_documents)
+    train = common.stratified(text, F.col("doc_id"), "lang", max_documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
