@@ -596,6 +596,13 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.select("page_id", F.regexp_extract("markdown", r"(?m)^# ([^\n]+)$", 1).alias("title"))
 
 
+@query()
+def html_to_markdown_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: length and digest of each page's whole markdown."""
+    md = convert_pages(table(spark, sf_dir, "pages"))
+    return md.select("page_id", F.length("markdown").cast("long").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha"))
+
+
 C5 = r"""li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_orderkey % 4 = 0),
 sp AS (SELECT l_orderkey AS doc, floor(n / 3)::INT AS block, n::INT AS line, l_partkey AS part,
  CASE WHEN n = 1 THEN 24.0 WHEN n = 2 AND l_partkey % 3 = 0 THEN 18.0 WHEN n = 2 AND l_partkey % 3 = 1 THEN 24.0 WHEN n = 4 THEN 15.0 ELSE 10.0 END::DOUBLE AS size FROM li),

@@ -73,3 +73,22 @@ def test_embedding_of_every_document(spark, db):
             want[int(h[:8], 16) % 64] += 1 if int(h[8], 16) < 8 else -1
         norm = math.sqrt(sum(x * x for x in want)) or 1
         assert got[doc] == pytest.approx([x / norm for x in want], abs=1e-6)
+
+
+PAGE = """<html><head><title>no</title><style>p {}</style></head><body><h1>Top</h1><p>Some <b>bold</b> and
+<a href="/x">a link</a> &amp; more.</p><ul><li>one</li><li>two <code>f()</code></li></ul><pre>a  =  1
+b</pre><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2</td></tr></table><script>no()</script></body></html>"""
+MARKDOWN = "# Top\n\nSome **bold** and [a link](/x) & more.\n\n- one\n- two `f()`\n\n```\na  =  1\nb\n```\n\n| k | v |\n|---|---|\n| 1 | 2 |"
+
+
+def test_digest_of_whole_pages(spark, tmp_path):
+    pages = [(1, "u", PAGE), (2, "u", PAGE.replace("two", "three")), (3, "u", ""), (4, "u", None)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.n_chars, r.markdown_sha) for r in QUERIES["html_to_markdown_digest"](spark, str(tmp_path)).collect()}
+    want = {1: MARKDOWN, 2: MARKDOWN.replace("two", "three"), 3: "", 4: ""}
+    assert got == {i: (len(m), hashlib.sha256(m.encode()).hexdigest()) for i, m in want.items()}
+
+
+def test_digest_of_every_page(spark, db):
+    got = [r.page_id for r in QUERIES["html_to_markdown_digest"](spark, SF).orderBy("page_id").collect()]
+    assert got == [r[0] for r in db.execute(f"SELECT page_id FROM '{SF}/pages.parquet' ORDER BY 1").fetchall()]
