@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,38 +24,70 @@ _SCRATCH: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, notebooks in local mode) a folder of our own is set.
+    Only in local mode (tests, notebooks), where the session has none, a folder of our own is set;
+    on a cluster a missing one is an error, for a machine's own folder would lose tables.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+ROWS_PER_FILE = 250_000
+
+
+def materialize(df: DataFrame, tag: str, *, rows: int | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and gives the planner the true
     size of the table, so that a later join broadcasts it only below
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    ``spark.sql.autoBroadcastJoinThreshold``. ``rows`` bounds the rows that the writing stage works
+    on: a small table is then written as one file for each ``ROWS_PER_FILE`` of them, not as one for
+    each shuffle partition, since tiny files cost more than what is in them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    files = None if rows is None else rows // ROWS_PER_FILE + 1
+    if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
+    df.write.parquet(path, compression=compression)
     _SCRATCH.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every scratch table written so far; call it when no result is read any more."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop()).getParent()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p).getParent()
         n += bool(path.getFileSystem(conf).delete(path, True))
+        _SCRATCH.remove(p)
     return n
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete these tables of ``materialize``: what was made of them has been written."""
+    for t in tables:
+        if (path := getattr(t, "_scratch", None)) in _SCRATCH:
+            _delete(t.sparkSession, [path])
+
+
+def written() -> frozenset[str]:
+    """The scratch tables there are, for ``release``."""
+    return frozenset(_SCRATCH)
+
+
+def release(spark: SparkSession, *keep: DataFrame, since: frozenset[str] = frozenset()) -> int:
+    """Delete the scratch tables written so far (``since`` an earlier state, if one is given) but
+    ``keep``; call it when no other result is read any more."""
+    stay = since | {getattr(t, "_scratch", None) for t in keep}
+    return _delete(spark, [p for p in _SCRATCH if p not in stay])
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -208,29 +241,36 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-BITMAP_MOST = 24
+BITMAP_MOST = 28
 
 
 def bitmap(df: DataFrame, key: Column, n: int) -> tuple[int, np.ndarray]:
-    """(bits, bit array) of the hashed keys of ``df``: a filter with false positives only.
+    """(bits, packed bits) of the hashed keys of ``df``: a filter with false positives only.
 
-    16 places a key, but never more than 2 ** BITMAP_MOST (2 MB), whatever the size of ``df``: with
-    far more keys it lets all pass and what follows is still right.
+    16 places a key, up to 2 ** BITMAP_MOST (32 MB, checked, as it is broadcast): that is 16 million
+    keys at a false share of 6 %, 60 million at 22 %, and so on. With ever more keys it spares less
+    of the join behind it, which is right by itself. Keys cross the shuffle once, by the 32,768-bit
+    part of the filter that they fall in.
     """
-    bits = min(BITMAP_MOST, max(10, (16 * n).bit_length()))
-    place = bitmap_place(key, bits)
-    words = df.select((place / 32).cast("int").alias("w"), (place % 32).cast("int").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).collect()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    for r in found:
-        out[r.w] = r.m & 0xFFFFFFFF
-    return bits, np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    bits = min(BITMAP_MOST, max(15, (16 * n).bit_length()))
+    place = df.select((bitmap_place(key, bits) + 1).alias("place"))
+    parts = place.select(F.bitmap_bucket_number("place").alias("part"), F.bitmap_bit_position("place").alias("bit"))
+    parts = parts.repartition(max(1, min(1 << (bits - 15), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "part")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("m")).collect():
+        out[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.m, np.uint8)
+    return bits, out
 
 
 def bitmap_place(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << bits))
 
 
+def set_in(places: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Whether each place's bit is set in a packed bitmap."""
+    return (places[found >> 3] >> (found & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def by_bitmap(df: DataFrame, key: Column, bits: int, places: np.ndarray, keep: bool) -> DataFrame:
     """The rows of ``df``, all columns, whose key's place in a bitmap is set (or, keep=False, isn't)."""
     mask = df.sparkSession.sparkContext.broadcast(places)
@@ -238,7 +278,7 @@ def by_bitmap(df: DataFrame, key: Column, bits: int, places: np.ndarray, keep: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             last = b.num_columns - 1
-            found = mask.value[b.column(last).to_numpy(zero_copy_only=False)]
+            found = set_in(mask.value, b.column(last).to_numpy(zero_copy_only=False))
             yield b.filter(pa.array(found == keep)).select(list(range(last)))
 
     marked = df.select("*", bitmap_place(key, bits).alias(f"place_{uuid.uuid4().hex}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ class CountingQuotientFilter:
         return cls(q, low, fingerprints, counts.astype(np.uint64))
 
     def dump(self, width: int) -> bytes:
-        """Slots as bit arrays and remainders; ``width`` quotients from ``low`` on."""
+        """Slots as bit arrays and remainders; ``width`` quotients from ``low`` on. What all filters of a
+        slice have in common (q, low, width) isn't written, so a filter of one slot is 15 bytes."""
         shift = np.uint64(64 - self.q)
         quotients = (self.fingerprints >> shift).astype(np.int64) - self.low
         occupied = np.zeros(width, np.uint8)
@@ -44,7 +46,7 @@ class CountingQuotientFilter:
         small = self.counts < 255
         return b"".join(
             (
-                np.array([self.q, self.low, width, len(quotients)], "<u8").tobytes(),
+                np.array([len(quotients)], "<u4").tobytes(),
                 np.packbits(occupied).tobytes(),
                 np.packbits(run_end).tobytes(),
                 remainders.astype("<u8").tobytes(),
@@ -54,9 +56,8 @@ class CountingQuotientFilter:
         )
 
     @classmethod
-    def load(cls, raw: bytes) -> CountingQuotientFilter:
-        q, low, width, n = (int(x) for x in np.frombuffer(raw, "<u8", 4))
-        at = 32
+    def load(cls, raw: bytes, q: int, low: int, width: int) -> CountingQuotientFilter:
+        n, at = int(np.frombuffer(raw, "<u4", 1)[0]), 4
         occupied = np.unpackbits(np.frombuffer(raw, "u1", -(-width // 8), at))[:width]
         at += -(-width // 8)
         run_end = np.unpackbits(np.frombuffer(raw, "u1", -(-n // 8), at))[:n]
@@ -68,51 +69,68 @@ class CountingQuotientFilter:
         quotients = np.flatnonzero(occupied)[run] + low
         return cls(q, low, quotients.astype(np.uint64) << np.uint64(64 - q) | remainders, counts)
 
+    def plus(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both runs of sorted slots merged into one; equal slots' counts added."""
+        at = np.searchsorted(self.fingerprints, other.fingerprints)
+        there = np.zeros(len(at), bool)
+        inside = at < len(self.fingerprints)
+        there[inside] = self.fingerprints[at[inside]] == other.fingerprints[inside]
+        counts = self.counts.copy()
+        counts[at[there]] += other.counts[there]
+        new = ~there
+        fingerprints = np.insert(self.fingerprints, at[new], other.fingerprints[new])
+        return CountingQuotientFilter(self.q, self.low, fingerprints, np.insert(counts, at[new], other.counts[new]))
+
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """All in one go: the sorted runs are merged and equal remainders' counts added."""
-        first = filters[0]
-        if any((f.q, f.low) != (first.q, first.low) for f in filters):
+        """Two by two, so a slot is moved once for each doubling."""
+        if any((f.q, f.low) != (filters[0].q, filters[0].low) for f in filters):
             raise ValueError("filters of different slices don't merge")
-        both = np.concatenate([f.fingerprints for f in filters])
-        order = np.argsort(both, kind="stable")
-        both, counts = both[order], np.concatenate([f.counts for f in filters])[order]
-        starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
-        return cls(first.q, first.low, both[starts], np.add.reduceat(counts, starts) if len(both) else counts)
+        while len(filters) > 1:
+            filters = [a.plus(b) if b else a for a, b in zip_longest(filters[::2], filters[1::2])]
+        return filters[0]
 
 
-def repeated_fingerprints(prints: DataFrame, n_rows: int, *, slice_rows: int = 100_000, chunk: int = 100_000) -> DataFrame:
+def repeated_fingerprints(prints: DataFrame, n_rows: int, *, slice_rows: int = 2_000_000, chunk: int = 4_000_000) -> DataFrame:
     """(fp, n): fingerprints that occur more than once, from filters built by each partition.
 
-    A partition's filter is cut into slices of the quotient range; slices of a range meet in one
-    task and merge. The number of slices grows with the rows, so a slice stays near ``slice_rows``
-    entries at most; equal fingerprints of a partition's chunk are one entry before the shuffle.
+    A partition has one filter (one for each ``chunk`` rows, if it is larger, which bounds its
+    memory), cut into slices of the quotient range; slices of a range meet in one task and merge.
+    There are about four slices for each shuffle partition, more if they held over ``slice_rows``
+    entries. A slice has as many quotients as a filter has rows in it, so a filter of few rows is small.
     """
-    slice_bits = max(6, (n_rows // slice_rows).bit_length())
-    q = min(40, slice_bits + 10)
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slice_bits = max(4 * partitions - 1, n_rows // slice_rows, 1).bit_length()
+    q = slice_bits + min(10, max(3, (n_rows // (partitions << slice_bits)).bit_length()))
     width = 1 << (q - slice_bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("slice", pa.int64()), ("filter", pa.binary())])
         held: list[np.ndarray] = []
 
-        def dump() -> pa.RecordBatch:
+        def dump() -> Iterator[pa.RecordBatch]:
             values, counts = np.unique(np.concatenate(held).view(np.uint64), return_counts=True)
             held.clear()
             slices = (values >> np.uint64(64 - slice_bits)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]])
-            made = [(int(slices[a]), CountingQuotientFilter(q, int(slices[a]) * width, values[a:b], counts[a:b].astype(np.uint64)).dump(width)) for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True)]
-            return common.batch(schema, [list(c) for c in zip(*made, strict=True)])
+            ends = np.r_[cuts[1:], len(values)]
+            for at in range(0, len(cuts), 10_000):
+                made = [(int(slices[a]), CountingQuotientFilter(q, int(slices[a]) * width, values[a:b], counts[a:b].astype(np.uint64)).dump(width)) for a, b in zip(cuts[at : at + 10_000], ends[at : at + 10_000], strict=True)]
+                yield common.batch(schema, [list(c) for c in zip(*made, strict=True)])
 
+        size = 0
         for b in batches:
             held.append(b.column(0).to_numpy(zero_copy_only=False))
-            if sum(map(len, held)) >= chunk:
-                yield dump()
-        if sum(map(len, held)):
-            yield dump()
+            size += b.num_rows
+            if size >= chunk:
+                yield from dump()
+                size = 0
+        if size:
+            yield from dump()
 
     def merge(table: pa.Table) -> pa.Table:
-        merged = CountingQuotientFilter.merge([CountingQuotientFilter.load(raw) for raw in table.column("filter").to_pylist()])
+        low = table.column("slice")[0].as_py() * width
+        merged = CountingQuotientFilter.merge([CountingQuotientFilter.load(raw, q, low, width) for raw in table.column("filter").to_pylist()])
         more = merged.counts > 1
         return pa.table({"fp": merged.fingerprints[more].view(np.int64), "n": merged.counts[more].astype(np.int64)})
 
@@ -137,8 +155,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     digests = common.materialize(docs.select("doc_id", F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("text_sha256")), "digests")
     n_rows = digests.count()
-    repeated = common.materialize(repeated_fingerprints(digests.select("fp"), n_rows), "repeated")
-    bits, places = common.bitmap(repeated, F.col("fp"), repeated.count())
+    repeated = common.materialize(repeated_fingerprints(digests.select("fp"), n_rows), "repeated", rows=n_rows)
+    n_repeated = repeated.count()
+    bits, places = common.bitmap(repeated, F.col("fp"), n_repeated)
     likely = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("fp"))
     routed = common.by_bitmap(likely, F.col("fp"), bits, places, True).join(repeated.select("fp"), "fp", "left_semi")
     groups = common.materialize(
@@ -147,7 +166,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .where("group_size > 1")
         .select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"),
         "groups",
+        rows=200 * n_repeated,  # texts, and some for each task
     )
+    common.discard(repeated)
     rows = common.join_hot(digests.select("doc_id", "text_sha256"), groups, "text_sha256", "group_size", n_rows)
     single = F.col("group_size").isNull()
     stays = single | F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -159,7 +180,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         stays.alias("kept"),
     )
     twins = common.materialize(
-        rows.where("kept and group_size > 1").groupBy("doc_id", "text_sha256", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twins"
+        rows.where("kept and group_size > 1").groupBy("doc_id", "text_sha256", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twins", rows=4 * n_repeated
     )
     if common.is_empty(twins):
         return rows
@@ -172,8 +193,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without those that ``exact_groups`` drops."""
     marks = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kept")).alias("stay"))
-    drops = common.materialize(marks.where("stay = 0").select("doc_id", "text_sha256"), "drops")
-    twins = common.materialize(marks.where("stay > 0 and n > stay").select("doc_id", "text_sha256"), "twins")
+    marks = common.materialize(marks.where("n > stay"), "marks")
+    drops = marks.where("stay = 0").select("doc_id", "text_sha256")
+    twins = marks.where("stay > 0").select("doc_id", "text_sha256")
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     keys = [(F.col("doc_id"), "doc_id"), (digest, "text_sha256")]
     left = common.without(docs, drops, keys)

@@ -20,26 +20,55 @@ _BYTE[65:91] = _BYTE[97:123]  # A to Z count as a to z
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = common.mix64(np.arange(16, dtype=np.uint64) + np.uint64(77)) | np.uint64(1)
-_powers: list[np.ndarray] = [common.powers(_BASE, 1 << 14), common.powers(_INVERSE, 1 << 14)]
+_BLOCK = 1 << 16  # bytes of a text that are hashed at once
+_UP, _DOWN = common.powers(_BASE, _BLOCK), common.powers(_INVERSE, _BLOCK)
 
 SUBSET = 2  # tokens of the subsets that small sets enumerate
 LARGEST_LIGHT = 64  # the boundary is sought below this size
 MASK40 = np.uint64((1 << 40) - 1)
+PAIR_ROWS = 512  # narrow rows that a pair of sets weighs as much as
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each word of at most ``_BLOCK`` bytes, before its length is mixed in; lengths."""
+    edge = np.flatnonzero(np.diff(np.r_[True, _SEPARATOR[raw], True].astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _UP[: len(raw)])))
+    total = (sums[end] - sums[begin]) * _DOWN[np.minimum(begin, _BLOCK - 1)]
+    return common.mix64(total + (end - begin).astype(np.uint64) * _PLACES[15])
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of a text's words, in blocks that end between words: a long text needs no more
+    room than its words' hashes, and a word of any length is hashed whole."""
+    out, at = [], 0
+    while at < len(raw):
+        block = raw[at : at + _BLOCK]
+        if at + _BLOCK < len(raw):
+            gaps = np.flatnonzero(_SEPARATOR[block])
+            if not len(gaps):  # a word that is longer than a block begins here
+                total, size = np.zeros(1, np.uint64), 0
+                while len(block) and not (gaps := np.flatnonzero(_SEPARATOR[block])).size:
+                    total += np.sum(_BYTE[block] * _UP[: len(block)], dtype=np.uint64) * np.full(1, pow(_BASE, size, 2**64), np.uint64)
+                    size += len(block)
+                    block = raw[at + size : at + size + _BLOCK]
+                block = block[: gaps[0]] if len(block) else block
+                total += np.sum(_BYTE[block] * _UP[: len(block)], dtype=np.uint64) * np.full(1, pow(_BASE, size, 2**64), np.uint64)
+                size += len(block)
+                out.append(common.mix64(total + np.full(1, size, np.uint64) * _PLACES[15]))
+                at += size
+                continue
+            block = block[: gaps[-1] + 1]
+        out.append(_hashed(block))
+        at += len(block)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of ``words`` words."""
-    raw = np.frombuffer(common.to_bytes(text or ""), np.uint8)
-    blank = _SEPARATOR[raw]
-    edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    if len(raw) > len(_powers[0]):
-        size = 1 << (len(raw) - 1).bit_length()
-        _powers[:] = [common.powers(_BASE, size), common.powers(_INVERSE, size)]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers[0][: len(raw)])))
-    word = common.mix64((sums[end] - sums[begin]) * _powers[1][begin] + (end - begin).astype(np.uint64) * _PLACES[15])
+    word = word_hashes(np.frombuffer(common.to_bytes(text or ""), np.uint8))
+    if not len(word):
+        return word
     n = min(words, len(word))
     total = np.full(len(word) - n + 1, np.uint64(n))
     for j in range(n):
@@ -47,11 +76,20 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(common.mix64(total))
 
 
-def signature(found: np.ndarray) -> int:
-    """64-bit hash of a set of hashes, as a signed number."""
-    with np.errstate(over="ignore"):
-        total = np.sum(common.mix64(found + np.uint64(0xA5A5)), dtype=np.uint64) + np.uint64(len(found)) * _PLACES[14]
-    return int(common.mix64(np.array([total]))[0].astype(np.int64))
+def _digest(found: np.ndarray, salt: int) -> int:
+    total = np.sum(common.mix64(found + np.full(1, salt, np.uint64)), dtype=np.uint64, keepdims=True) + np.full(1, len(found), np.uint64) * _PLACES[14]
+    return int(common.mix64(total)[0].astype(np.int64))
+
+
+def signature(found: np.ndarray, clashes: frozenset[int] = frozenset()) -> int:
+    """64-bit hash of a set of hashes, as a signed number. ``clashes`` are hashes that sets of different
+    ``second`` hashes share: there both make the signature, so 128 bits tell sets apart."""
+    out = _digest(found, 0xA5A5)
+    return out ^ second(found) if out in clashes else out
+
+
+def second(found: np.ndarray) -> int:
+    return _digest(found, 0x5A5A5A5A)
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -75,6 +113,12 @@ class Plan:
     buckets: int
     heavy: np.ndarray  # sorted hashes of frequent shingles
     rank: np.ndarray  # their places in the order, after all others
+    clashes: frozenset[int] = frozenset()
+
+    @property
+    def smallest(self) -> int:
+        """Least size of a set that links with a different one: n of n + 1 shingles is the best it can do."""
+        return -(-self.percent // (100 - self.percent)) if self.percent < 100 else 1 << 62
 
     def least(self, n: int) -> int:
         """Least intersection of a set of n with any set it links with."""
@@ -97,8 +141,9 @@ class Plan:
         Two sets that link have an intersection of at least ``least``. Large sets: their first
         common shingle is among the first n - least + 1 of each, so those are keys (the inverted
         lists). Small sets: their first SUBSET common ones are among the first n - least + SUBSET,
-        so all subsets of that size are keys. ``reach`` bounds the intersection of a pair whose
-        first common shingles are those of the key: what is left from there on.
+        so all subsets of that size are keys; where fewer than SUBSET common ones may do, they are
+        in the lists as well. ``reach`` bounds the intersection of a pair whose first common
+        shingles are those of the key: what is left from there on.
         """
         n, order = len(found), self.ordered(found)
         least = self.least(n)
@@ -108,7 +153,7 @@ class Plan:
             i, j = np.triu_indices(len(first), 1)
             keys.append(common.mix64(first[i] * _PLACES[11] + first[j] * _PLACES[12]))
             reach.append(n - j + 1)
-        if 100 * n >= self.percent * self.boundary or n >= self.boundary:
+        if least < SUBSET or 100 * n >= self.percent * self.boundary or n >= self.boundary:
             m = n - least + 1
             keys.append(order[:m])
             reach.append(n - np.arange(m))
@@ -121,9 +166,9 @@ def required(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: (doc_id, shingles, signature, sketch) of each row; kind 1: (hash, count) of shingles that a
-    task saw often; kind 2: sums of a task's counts and their squares."""
-    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """kind 0: (doc_id, shingles, signature and second hash, sketch) of each row; kind 1: (hash, count) of
+    shingles that a task saw often; kind 2: sums of a task's counts and their squares."""
+    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("sig2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -145,21 +190,21 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         for ids, texts in common.rows(batches, "doc_id", "text"):
             found = [shingles(t, words) for t in texts]
             sigs = [signature(f) for f in found]
-            yield common.batch(schema, [[0] * len(ids), ids, [len(f) for f in found], sigs, [sketch(f) for f in found]])
+            yield common.batch(schema, [[0] * len(ids), ids, [len(f) for f in found], sigs, [second(f) for f in found], [sketch(f) for f in found]])
             for f, s in zip(found, sigs, strict=True):
                 if s not in seen:  # equal sets count once a task
                     seen.add(s)
                     held.append(f)
                     size += len(f)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 count()
                 seen.clear()
         count()
         top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[: 1 << 15]
         hashes = np.array([h for h, _ in top], np.uint64).view(np.int64).tolist()
-        yield common.batch(schema, [[1] * len(top) + [2], hashes + [totals], [c for _, c in top] + [squares], [0] * (len(top) + 1), [None] * (len(top) + 1)])
+        yield common.batch(schema, [[1] * len(top) + [2], hashes + [totals], [c for _, c in top] + [squares], [0] * (len(top) + 1), [0] * (len(top) + 1), [None] * (len(top) + 1)])
 
-    return common.arrow_map(docs.select("doc_id", "text"), run, "kind int, x bigint, n bigint, sig bigint, sketch array<bigint>")
+    return common.arrow_map(docs.select("doc_id", "text"), run, "kind int, x bigint, n bigint, sig bigint, sig2 bigint, sketch array<bigint>")
 
 
 def _boundary(sizes: dict[int, int], mean_list: float, percent: int) -> int:
@@ -203,9 +248,9 @@ def _postings(docs: DataFrame, plan: Plan) -> DataFrame:
         for (texts,) in common.rows(batches, "text"):
             for t in texts:
                 found = shingles(t, plan.words)
-                if len(found) < 3:
+                if len(found) < plan.smallest:
                     continue
-                sig = signature(found)
+                sig = signature(found, plan.clashes)
                 if sig in seen:
                     continue
                 seen.add(sig)
@@ -215,7 +260,7 @@ def _postings(docs: DataFrame, plan: Plan) -> DataFrame:
                 sigs.append(sig)
                 sizes.append(len(found))
                 held += len(k)
-            if held > 500_000:
+            if held > 250_000:
                 yield flush()
                 held = 0
             if len(seen) > 200_000:
@@ -302,20 +347,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan)
     Only texts of sets in a pair are made into sets again: a bounded bitmap of their ids filters
     most rows, a join on the signature the rest.
     """
-    used = common.materialize(
-        pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct().join(classes.select("sig", "rep"), "sig"), "used"
-    )
+    n_pairs = pairs.count()
+    ends = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
+    used = common.materialize(ends.join(classes.select("sig", "rep"), "sig"), "used")
     bits, places = common.bitmap(used, F.col("rep"), used.count())
     shared = docs.sparkSession.sparkContext.broadcast(places)
     schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("found", pa.list_(pa.int64()))])
-    words = plan.words
+    words, clashes = plan.words, plan.clashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(shared.value[b.column(2).to_numpy(zero_copy_only=False)]))
-            for ids, texts in common.rows(iter([b]), "doc_id", "text"):
+            b = b.filter(pa.array(common.set_in(shared.value, b.column(2).to_numpy(zero_copy_only=False))))
+            for ids, texts in common.rows(iter([b]), "doc_id", "text", size=64):
                 found = [shingles(t, words) for t in texts]
-                yield common.batch(schema, [ids, [signature(f) for f in found], [f.view(np.int64) for f in found]])
+                yield common.batch(schema, [ids, [signature(f, clashes) for f in found], [f.view(np.int64) for f in found]])
 
     made = common.arrow_map(docs.select("doc_id", "text", common.bitmap_place(F.col("doc_id"), bits).alias("place")), run, "doc_id bigint, sig bigint, found array<bigint>")
     wanted = used.withColumnRenamed("sig", "used")
@@ -326,7 +371,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan)
     both = pairs.select("x", "y").join(right, "y").join(left, "x")
     common_size = F.size(F.array_intersect("fx", "fy"))
     links = both.where(common_size * (100 + plan.percent) >= plan.percent * (F.size("fx") + F.size("fy")))
-    return common.materialize(links.select("x", "y").distinct(), "links")
+    links = common.materialize(links.select("x", "y").distinct(), "links", rows=PAIR_ROWS * n_pairs)
+    common.discard(used, sets)
+    return links
 
 
 def _apart(one: np.ndarray, others: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -341,38 +388,46 @@ def _apart(one: np.ndarray, others: dict[int, tuple[np.ndarray, np.ndarray]]) ->
             yield rows, np.bitwise_count(sketches[:, :size] ^ sketches[:, size:] ^ one).sum(axis=1, dtype=np.int64)
 
 
-def _cross_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _cross_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, buckets: int, cell_rows: int = 4096) -> DataFrame:
     """Pairs of a list whose sets are in different components so far and that may still link, by what
     is left of them from the list's shingle on and by their sketches.
 
-    Lists with the same sets are taken as one, with the largest reach of each set.
+    Lists with the same sets are taken as one, with the largest reach of each set. A list of more
+    than ``cell_rows`` sets is dealt into parts, and each two parts (and each part with itself) meet
+    in a cell, so no task holds a long list or compares it whole.
     """
     labelled = entries.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").select("list", "x", "n", "r", F.coalesce("label", "x").alias("label"))
-    mixed = labelled.groupBy("list").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("x")).alias("h")).where("a <> b").select("list", "h")
-    rows = labelled.join(mixed, "list").groupBy("h", "x").agg(F.max("r").alias("r"), F.first("n").alias("n"), F.first("label").alias("label"))
-    rows = rows.join(classes.select(F.col("sig").alias("x"), "sketch"), "x").withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    mixed = labelled.groupBy("list").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("x")).alias("h"), F.count(F.lit(1)).alias("size"))
+    mixed = common.materialize(mixed.where("a <> b").select("list", "h", F.ceil(F.col("size") / cell_rows).cast("int").alias("parts")), "mixed")
+    rows = labelled.join(mixed, "list").groupBy("h", "x").agg(F.max("r").alias("r"), F.first("n").alias("n"), F.first("label").alias("label"), F.max("parts").alias("parts"))
+    rows = rows.join(classes.select(F.col("sig").alias("x"), "sketch"), "x")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("cell", F.xxhash64("h", F.least("part", "other"), F.greatest("part", "other")))
+    # in a cell of one part with itself every pair is new, in one of two parts only those across
+    rows = rows.withColumn("side", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part"))).withColumn("bucket", F.pmod(F.col("cell"), F.lit(buckets)))
     empty = pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64())})
 
     def scan(table: pa.Table) -> pa.Table:
-        name, x, n, r, label = (table.column(c).to_numpy() for c in ("h", "x", "n", "r", "label"))
+        name, x, n, r, label, side = (table.column(c).to_numpy() for c in ("cell", "x", "n", "r", "label", "side"))
         order = np.lexsort((label, name))
         sketches = table.column("sketch").combine_chunks()
         flat, ends = sketches.flatten().to_numpy().view(np.uint64), np.asarray(sketches.offsets)
         ends = ends - ends[0]
-        name, x, n, r, label = name[order], x[order], n[order], r[order], label[order]
+        name, x, n, r, label, side = name[order], x[order], n[order], r[order], label[order], side[order]
         cuts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
         out: list[np.ndarray] = []
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(name)], strict=True):
             own = [flat[ends[k] : ends[k + 1]] for k in order[a:b]]
             lengths = np.array([len(k) for k in own])
             by_length = {int(m): (at, np.stack([own[k] for k in at])) for m in np.unique(lengths) for at in [np.flatnonzero(lengths == m)]}
-            xs, ns, rs, ls = x[a:b], n[a:b], r[a:b], label[a:b]
+            xs, ns, rs, ls, ss = x[a:b], n[a:b], r[a:b], label[a:b], side[a:b]
             names, sizes = np.unique(ls, return_counts=True)
             largest = names[np.argmax(sizes)]
             for i in np.flatnonzero(ls != largest).tolist():  # the largest one's pairs are seen from the other side
                 for rows, apart in _apart(own[i], by_length):
                     ok = (ls[rows] != ls[i]) & (np.minimum(rs[rows], rs[i]) >= required(ns[rows], ns[i], percent))
                     ok &= (ls[rows] == largest) | (xs[rows] > xs[i])
+                    ok &= (ss[rows] != ss[i]) | (ss[i] == -1)
                     ok &= apart * (100 + percent) <= (100 - percent) * (ns[rows] + ns[i])
                     if ok.any():
                         j = rows[ok]
@@ -392,31 +447,37 @@ def components(edges: DataFrame) -> DataFrame:
     but two counts comes to the driver.
     """
     ends = [F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")]
-    now = common.materialize(edges.where("x <> y").select(*ends).distinct(), "edges")
+    n = 2 * edges.count()  # no round has more edges than the first
+    now = common.materialize(edges.where("x <> y").select(*ends).distinct(), "edges", rows=n)
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = common.materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        after = common.materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars", rows=n)
         # done when each node has one edge, to a node that is nobody's leaf
         leaves = after.select("u")
         done = after.count() == leaves.distinct().count() and common.is_empty(after.join(leaves.select(F.col("u").alias("v")), "v", "left_semi"))
+        common.discard(now)
         now = after
         if done:
             break
-    return common.materialize(now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct()), "labels")
+    labels = common.materialize(now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct()), "labels", rows=n)
+    common.discard(now)
+    return labels
 
 
-def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries: int = 400_000, most_frequent: int = 1 << 17) -> DataFrame:
+def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries: int = 400_000, most_frequent: int = 1 << 17, cell_rows: int = 4096) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words are runs of other than ASCII white space, with A-Z lower-cased; a set holds the distinct
     shingles of ``words`` words (a shorter text is one shingle; no word or null text: an empty set,
     linked with nothing). Two rows link when 100 * intersection >= percent * union; component_id is
     the least doc_id that links reach. Rows with equal sets are one class and are compared once;
-    null ids count as larger than any; an empty table gives no row; other columns play no part.
+    null ids count as larger than any; an empty table gives no row; other columns play no part. Texts
+    are hashed in blocks, so one of any length needs 24 bytes a word. ``percent`` is 50 to 100, where
+    the sketches' rule is exact.
 
     1. A first pass makes each row's set size and signature, and finds frequent shingles, which
        come last in the order of the sets (a hint of at most ``most_frequent``; any order is right).
@@ -428,10 +489,21 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
        bound on the intersection admits; these are verified as well, so no link is lost, while a
        group of copies that already hangs together makes no pairs.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"percent must be 50 to 100, not {percent}")
     profile = common.materialize(_profile(docs, words), "profile")
-    rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), "sig", "sketch")
+    rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("n").alias("n_shingles"), "sig", "sig2", "sketch")
     n_rows = rows.count()
-    classes = common.materialize(rows.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "classes")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        aggs = (F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"), F.min("sig2").alias("low"), F.max("sig2").alias("high"))
+        return common.materialize(rows.where("n_shingles > 0").groupBy("sig").agg(*aggs), "classes")
+
+    classes = grouped(rows)
+    clashes = frozenset(r.sig for r in classes.where("low <> high").select("sig").collect())  # about n * n / 2 ** 65 of n sets
+    if clashes:
+        rows = rows.withColumn("sig", F.when(F.col("sig").isin(*clashes), F.col("sig").bitwiseXOR(F.col("sig2"))).otherwise(F.col("sig")))
+        classes = grouped(rows)
     frequent = profile.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "x").limit(most_frequent).collect()
     sums = profile.where("kind = 2").agg(F.sum("x"), F.sum("n")).first()
     small = {r.n_shingles: r.n for r in classes.where(F.col("n_shingles") <= 2 * LARGEST_LIGHT).groupBy("n_shingles").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -443,24 +515,28 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     order = np.argsort(by_hash)
     rank = np.array([-r.n for r in frequent], np.int64)
     rank = np.argsort(np.lexsort((by_hash, -rank))) if len(rank) else rank
-    plan = Plan(percent, words, boundary, max(8, int(entries / bucket_entries) + 1), by_hash[order], rank[order] if len(order) else rank)
+    plan = Plan(percent, words, boundary, max(8, int(entries / bucket_entries) + 1), by_hash[order], rank[order] if len(order) else rank, clashes)
 
     lists = common.materialize(_lists(_postings(docs, plan), percent), "lists")
     proposed = lists.where("kind = 0").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     ends = proposed.select("x", "y", "n", F.explode(F.array("x", "y")).alias("z"))
     best = Window.partitionBy("z").orderBy(F.desc("n"), "x", "y")
     stars = common.materialize(ends.withColumn("i", F.row_number().over(best)).where("i <= 2").select("x", "y").distinct(), "stars")
-    links = _verified(docs, common.materialize(_plausible(stars, classes, percent), "likely"), classes, plan)
+    likely = common.materialize(_plausible(stars, classes, percent), "likely")
+    links = _verified(docs, likely, classes, plan)
+    common.discard(likely)
     labels = components(links)
     # every proposal not verified yet, and every other pair across components
     rest = proposed.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
     rest = rest.where(~F.coalesce("lx", "x").eqNullSafe(F.coalesce("ly", "y"))).select("x", "y")
-    cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, classes, percent, plan.buckets)
+    cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, classes, percent, plan.buckets, cell_rows)
     late = common.materialize(_plausible(rest.union(cross).distinct().join(stars, ["x", "y"], "left_anti"), classes, percent), "late")
+    common.discard(lists, stars)
     if not common.is_empty(late):
         labels = components(links.union(_verified(docs, late, classes, plan)))
     joined = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", "copies", F.coalesce("label", "sig").alias("label"))
     least_id = joined.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets"), F.max("copies").alias("most"))
-    told = common.materialize(joined.join(least_id.where("sets > 1 or most > 1"), "label").select("sig", "copies", "component_id"), "told")
-    out = common.join_hot(rows.drop("sketch"), told, "sig", "copies", n_rows)
+    told = common.materialize(joined.join(least_id.where("sets > 1 or most > 1"), "label").select("sig", "copies", "component_id"), "told", rows=n_rows)
+    common.discard(classes, links, late, labels)
+    out = common.join_hot(rows.drop("sketch", "sig2"), told, "sig", "copies", n_rows)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
