@@ -8,11 +8,14 @@ from docweave.llm import mixing, topk
 
 
 def brute_topk(rows, queries, k):
-    ok = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    """Every row of ``queries`` (places in ``rows``) against every other row."""
+    ok = {r: (i, np.floor(256 * np.array(v)).astype(int)) for r, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     out = []
-    for q, x in [r for r in ok if r[0] in queries]:
-        hits = sorted((-int(x @ y), i) for i, y in ok if i != q and len(y) == len(x))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hits[:k])]
+    for r in queries:
+        if r in ok:
+            q, x = ok[r]
+            hits = sorted((-int(x @ y), i) for s, (i, y) in ok.items() if s != r and len(y) == len(x))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hits[:k])]
     return sorted(out)
 
 
@@ -24,7 +27,7 @@ def test_topk_against_brute_force(spark, size):
     d = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], "vec_id bigint, embedding array<float>, label int, lane int").repartition(3)
     ask = d.where((F.col("vec_id") % 5 == 0) | (F.col("vec_id") > 9000))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(d, ask, k=5, block_rows=32, lane_rows=64, query_rows=16).collect())
-    assert got == brute_topk(rows, {i for i, _ in rows if i is not None and (i % 5 == 0 or i > 9000)}, 5)
+    assert got == brute_topk(rows, [r for r, (i, _) in enumerate(rows) if i is not None and (i % 5 == 0 or i > 9000)], 5)
 
 
 def test_topk_repeats_and_empty(spark):
@@ -35,13 +38,49 @@ def test_topk_repeats_and_empty(spark):
     assert topk.search(none, none).count() == 0 and topk.search(d, none).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    """A query's own row is left out once: an equal row and another vector of its id are candidates."""
+    rng = np.random.default_rng(5)
+    vectors = [[float(x) for x in rng.integers(-3, 4, 4)] for _ in range(5)]
+    rows = [(int(i), vectors[j]) for i, j in zip(rng.integers(0, 6, 60), rng.integers(0, 5, 60), strict=True)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(d, d.where("vec_id % 2 = 0"), k=7, block_rows=8, lane_rows=16).collect())
+    assert got == brute_topk(rows, [r for r, (i, _) in enumerate(rows) if i % 2 == 0], 7)
+
+
+@pytest.mark.parametrize("size, kind", [(2.0**18, np.int64), (2.0**14, np.float64)])
+def test_topk_of_large_components(spark, size, kind):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(0, size, 6)]) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert topk._exact(6, int(256 * size * 4), int(256 * size * 4)) is kind
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(d, d.where("vec_id % 20 = 0"), k=5, block_rows=64).collect())
+    assert got == brute_topk(rows, range(0, 200, 20), 5)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk._exact(6, 1 << 31, 1 << 31)
+
+
 def test_lists_are_not_read_whole_when_bounds_decide():
     rng = np.random.default_rng(0)
     x = np.floor(256 * rng.normal(0, 0.02, (4000, 8)))
-    x[:5] += 200
-    scan = topk.NoRandomAccess(np.array([-1]), np.full((1, 8), 100.0), 5)
-    scan.block(np.arange(4000), x)
-    assert scan.read < x.size and sorted(scan.names[0]) == [0, 1, 2, 3, 4]
+    best = np.full((6, 8), 200.0)
+    scan = topk.NoRandomAccess(np.array([-1]), np.array([-1]), np.full((1, 8), 100.0), 5)
+    scan.block(np.arange(6), best)
+    scan.block(np.arange(6, 4006), x)
+    assert scan.decided < 0.2 * scan.listed and scan.resolved < 0.2 * scan.listed and sorted(scan.names[0]) == [0, 1, 2, 3, 4]
+
+
+def test_nothing_is_looked_up():
+    """The walk is right on entries alone: what it hasn't read may change."""
+    rng = np.random.default_rng(3)
+    x, asked = np.floor(256 * rng.normal(0, 0.1, (500, 6))), np.floor(256 * rng.normal(0, 0.1, (9, 6)))
+    for few in (1, 64, 1000):
+        scan = topk.NoRandomAccess(np.arange(9), np.arange(9) - 100, asked, 4, few=few)
+        for at in range(0, 500, 100):
+            scan.block(np.arange(at, at + 100), x[at : at + 100])
+        want = [sorted(((-s, i) for i, s in enumerate(x @ q)))[:4] for q in asked]
+        assert scan.names.tolist() == [[i for _, i in w] for w in want] and scan.best.tolist() == [[-s for s, _ in w] for w in want]
+        assert 0 < scan.decided <= scan.resolved <= scan.listed
 
 
 def corpus(spark, sizes, seed=0):
