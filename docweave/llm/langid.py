@@ -50,24 +50,26 @@ class MixtureModel:
     def infer(self, text: str | None, steps: int = 30) -> dict[str, float]:
         """Proportions of the languages of a text; empty if it has no letter.
 
-        From all languages, those whose removal costs less log-likelihood than the penalty
-        (``penalty`` times the log of the number of grams, for each share) go one by one.
+        From all languages, those whose removal costs no more log-likelihood than the penalty
+        (``penalty`` times the log of the number of grams, for each share) go, smallest share first.
         """
         if not text or not any(map(str.isalpha, text)) or not self.languages:
             return {}
         found, n = np.unique(grams(text), return_counts=True)
         p, n = self.likelihood[found], n.astype(float)
-        share, best = self._em(p, n, steps)
-        active = np.flatnonzero(share > 0.02) if len(share) > 1 else np.arange(1)
         price = self.penalty * np.log(n.sum() + 1)
-        share, best = self._em(p[:, active], n, steps)
-        while len(active) > 1:
-            least = int(np.argmin(share))
-            left = np.delete(active, least)
-            fewer, value = self._em(p[:, left], n, steps)
-            if best - value > price:
-                break
-            active, share, best = left, fewer, value
+        active = np.arange(p.shape[1])
+        share, best = self._em(p, n, steps)
+        few = len(active) // 2
+        while few:
+            # of equal shares the later name goes; several at once, where together they cost less than one may
+            left = np.sort(np.lexsort((-active, share))[few:])
+            fewer, value = self._em(p[:, active[left]], n, steps)
+            if best - value <= price:
+                active, share, best = active[left], fewer, value
+                few = min(few, len(active) - 1)
+            else:
+                few //= 2
         return {self.languages[i]: float(s) for i, s in zip(active, share / share.sum(), strict=True)}
 
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
@@ -115,8 +117,9 @@ def fit(docs: DataFrame, *, max_documents: int = 20_000, smoothing: float = 0.5,
 def identify(docs: DataFrame, model: MixtureModel) -> DataFrame:
     """doc_id, lang_pred, score and the mixture of every row.
 
-    ``und`` with score 0 for null texts and texts without a letter. Whole texts are read; ties go
-    to the smaller name; an empty table gives no row; other columns are ignored.
+    ``und`` with score 0 for null texts and texts without a letter. Whole texts are read, of any
+    length (at about 40 bytes a character); ties go to the smaller name; repeated rows get the same;
+    an empty table gives no row; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64()))])
