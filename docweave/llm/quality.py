@@ -76,24 +76,24 @@ def indicators(text: str, bits: int) -> np.ndarray:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: np.ndarray, *, epochs: int = 20, tolerance: float = 1e-3, seed: int = 7) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss, by coordinate descent on its dual (one pass a row).
+    """Weights of a linear SVM with hinge loss, by coordinate descent on its dual: one row's multiplier
+    at a time is moved to where its gradient is 0, and kept between 0 and the row's cost.
 
     ``rows`` are the indices of ones; a row is ``values`` there, divided by the root of their number.
     ``y`` is -1 or 1; ``cost`` is each row's C.
     """
     w, alpha = np.zeros(len(values)), np.zeros(len(rows))
     scaled = [values[r] / np.sqrt(len(r)) for r in rows]
-    diagonal = 0.5 / cost
-    q = np.array([float(s @ s) for s in scaled]) + diagonal
+    q = np.array([float(s @ s) for s in scaled])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
-            g = y[i] * float(w[rows[i]] @ scaled[i]) - 1 + diagonal[i] * alpha[i]
-            projected = min(g, 0.0) if alpha[i] == 0 else g
+            g = y[i] * float(w[rows[i]] @ scaled[i]) - 1
+            projected = min(g, 0.0) if alpha[i] <= 0 else max(g, 0.0) if alpha[i] >= cost[i] else g
             if abs(projected) > 1e-9 and q[i] > 0:
                 worst = max(worst, abs(projected))
-                new = max(alpha[i] - g / q[i], 0.0)
+                new = min(max(alpha[i] - g / q[i], 0.0), cost[i])
                 w[rows[i]] += (new - alpha[i]) * y[i] * scaled[i]
                 alpha[i] = new
         if worst < tolerance:
@@ -158,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 8_000, bits:
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id and score (the probability of label 1) of every row.
 
-    Null texts score as empty ones; whole texts are read; repeated rows score alike; an empty table
-    gives no row; other columns are ignored.
+    Null texts score as empty ones; whole texts of any length are read (at about 100 bytes a
+    character); repeated rows, and texts with the same indicators, score alike; an empty table gives
+    no row; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
