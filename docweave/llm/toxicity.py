@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -184,37 +184,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_documents: int = 20_000, max_
     n = {k: told[k].to_numpy(float) for k in names}
     halves = [_model(vocabulary, n[f"n{h}1"], n[f"n{h}0"], (totals[2 * h + 1], totals[2 * h]), strength, z, drift) if totals[2 * h] and totals[2 * h + 1] else SegmentModel({}, {}, drift, 1.0, 0.0) for h in (0, 1)]
     whole = _model(vocabulary, n["n01"] + n["n11"], n["n00"] + n["n10"], (n_toxic, n_clean), strength, z, drift)
-    shared = train.sparkSession.sparkContext.broadcast(halves)
-
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("half", pa.int32()), ("y", pa.int32()), ("words", pa.int64()), ("sums", pa.list_(pa.float64()))])
-        for ids, texts, ys in common.rows(batches, "doc_id", "text", "y"):
-            made = []
-            for doc_id, text, y in zip(ids, texts, ys, strict=True):
-                half = half_of(doc_id)
-                model = shared.value[1 - half]
-                w, found = model.segments(text)
-                made.append((half, y, len(w), sorted((model.rate * s for *_, s in found), reverse=True)[:64]))
-            yield common.batch(schema, [list(c) for c in zip(*made, strict=True)])
-
-    seen = common.arrow_map(train, largest, "half int, y int, words bigint, sums array<double>").toPandas()
-    y, size = seen["y"].to_numpy(float), np.log(np.maximum(seen["words"].to_numpy(float), 1))
-    tops = np.array([s[0] if len(s) else -np.inf for s in seen["sums"]])
+    told = _by_other_half(train, halves, lambda m, text: _largest(m, text))
+    y, size, top = told[:, 0], np.log(np.maximum(told[:, 1], 1)), told[:, 2]
     # P(max < x) = exp(-K n exp(-x)): the maximum-likelihood K over clean documents, capped below by the empty ones
     clean = y == 0
-    excess = np.exp(-np.clip(tops[clean], 0, 50) + size[clean])
+    excess = np.exp(-np.clip(top[clean], 0, 50) + size[clean])
     location = float(np.log(max(clean.sum(), 1)) - np.log(max(excess.sum(), 1e-9))) if clean.any() else 0.0
-    normed = [np.asarray(s) - location - k for s, k in zip(seen["sums"], size, strict=True)]
-    best = np.array([v[0] if len(v) else -3.0 for v in normed])
-    significant = [v[v > 0] for v in normed]
-    x = np.column_stack(
-        (
-            -np.log(-np.expm1(-np.exp(-np.clip(best, -20, 30)))),
-            [np.log1p(v.sum()) for v in significant],
-            [np.log1p(len(v)) for v in significant],
-        )
-    )
-    return SegmentModel(whole.scores, whole.stems, drift, whole.rate, location, tuple(common.logistic(x, y)))
+    placed = _by_other_half(train, [replace(m, location=location) for m in halves], lambda m, text: m.features(text))
+    weights = common.logistic(placed[:, 1:], placed[:, 0])
+    return replace(whole, location=location, weights=tuple(weights))
+
+
+def _largest(model: SegmentModel, text: str) -> np.ndarray:
+    """Words of a text and the normed score of its largest segment."""
+    w, found = model.segments(text)
+    return np.array([len(w), max((model.rate * s for *_, s in found), default=-np.inf)])
+
+
+def _by_other_half(train: DataFrame, halves: list[SegmentModel], measure: Callable[[SegmentModel, str], np.ndarray]) -> np.ndarray:
+    """(label, measures) of each training row, by the model of the half that it isn't in; a few
+    numbers of about ``max_documents`` rows, in the order of the rows' ids and texts' measures."""
+    shared = train.sparkSession.sparkContext.broadcast(halves)
+    schema = pa.schema([("found", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, ys in common.rows(batches, "doc_id", "text", "y"):
+            yield common.batch(schema, [[[float(y), *measure(shared.value[1 - half_of(i)], t)] for i, t, y in zip(ids, texts, ys, strict=True)]])
+
+    rows = [r.found for r in common.arrow_map(train, run, "found array<double>").collect()]
+    return np.array(sorted(rows))
 
 
 def score(docs: DataFrame, model: SegmentModel) -> DataFrame:
