@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 
 from . import common
 
-MOST_BLOCKS = 1 << 16  # blocks of a source at most
 STEPS = 5  # bisection steps that one job settles
 NO_SOURCE = "n"
 
@@ -100,34 +99,40 @@ def plan(docs: DataFrame, *, entropy_share: float | None = 0.98, max_repeats: fl
     narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), source_key(F.col("source")).alias("key"), token_count(F.col("text")).alias("tokens"))
     narrow = common.materialize(narrow.withColumn("place", F.xxhash64(F.col("doc_id"), F.lit(seed))), "mix_rows")
     sources = narrow.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    sources = common.materialize(sources, "mix_sources")
+    sources = common.materialize(sources, "mix_sources", rows=narrow.count())
     n_rows, total = sources.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     budget = float(total if budget_tokens is None else budget_tokens)
     t = temperature(sources, entropy_share=entropy_share, max_repeats=max_repeats, budget=budget)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(t.total or 1.0), F.lit(t.exponent)) / F.lit(t.norm)).otherwise(F.lit(0.0))
     quotas = sources.withColumn("weight", weight).withColumn("quota", F.floor(F.round(F.col("weight") * budget, 6)))
-    quotas = quotas.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("docs") / block_rows)).cast("int"))
+    quotas = quotas.withColumn("blocks", F.ceil(F.col("docs") / block_rows).cast("long"))
     # rows without tokens cost nothing: they go with every epoch, once at least
     quotas = quotas.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)))
-    quotas = common.materialize(quotas.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(F.lit(0))), "mix_quotas")
+    quotas = common.materialize(quotas.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") % F.col("tokens")).otherwise(F.lit(0))), "mix_quotas", rows=n_rows)
     dealt = common.join_hot(narrow, quotas.select("key", "blocks", "rest", F.col("docs").alias("size")), "key", "size", max(n_rows, 1))
-    dealt = dealt.withColumn("block", F.pmod(F.col("place"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.col("place"), F.col("blocks")))
     sums = dealt.groupBy("key", "block").agg(F.sum("tokens").alias("held"), F.first("rest").alias("rest")).withColumn("order", _order(F.col("block"), seed))
+    sums = common.materialize(sums.withColumn("span", F.shiftright("order", 48)), "mix_blocks", rows=n_rows)
+    # the cut's span of the permutation first, among 65,536 at most, then its block in the span: no window holds all blocks of a source
+    along = Window.partitionBy("key").orderBy("span")
+    spans = sums.groupBy("key", "span").agg(F.sum("held").alias("span_held"), F.first("rest").alias("span_rest"))
+    spans = spans.withColumn("base", F.sum("span_held").over(along) - F.col("span_held")).where("base <= span_rest and span_rest < base + span_held")
     along = Window.partitionBy("key").orderBy("order", "block")
-    cuts = sums.withColumn("before", F.sum("held").over(along) - F.col("held")).where("before <= rest and rest < before + held")
-    cuts = common.materialize(cuts.select("key", F.col("block").alias("cut_block"), F.col("order").alias("cut_order"), "before"), "mix_cuts")
+    inner = sums.join(spans.select("key", "span", "base"), ["key", "span"])
+    cuts = inner.withColumn("before", F.col("base") + F.sum("held").over(along) - F.col("held")).where("before <= rest and rest < before + held")
+    cuts = common.materialize(cuts.select("key", F.col("block").alias("cut_block"), F.col("order").alias("cut_order"), "before"), "mix_cuts", rows=n_rows)
     hot_cuts = common.join_hot(dealt, cuts.join(quotas.select("key", F.col("docs").alias("cut_size")), "key"), "key", "cut_size", max(n_rows, 1))
     inside = hot_cuts.where((F.col("block") == F.col("cut_block")) & (F.col("tokens") > 0))
     steps = Window.partitionBy("key", "block").orderBy("place", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("upto", F.col("before") + F.sum("tokens").over(steps)).where("upto <= rest").groupBy("key").agg(F.max(F.struct("place", "doc_id")).alias("last"))
     final = quotas.join(cuts.drop("before"), "key", "left").join(last, "key", "left")
     final = final.select("key", "tokens", "docs", "blocks", "weight", "quota", "epochs", "cut_order", "cut_block", F.col("last.place").alias("cut_place"), F.col("last.doc_id").alias("cut_id"), F.col("last").isNotNull().alias("cut_some"))
-    return narrow, common.materialize(final, "mix_plan")
+    return narrow, common.materialize(final, "mix_plan", rows=n_rows)
 
 
 def _copies(place: Column, doc_id: Column, seed: int) -> Column:
     """How often a row is read, from the columns of its source's plan."""
-    block = F.pmod(place, F.col("blocks")).cast("int")
+    block = F.pmod(place, F.col("blocks"))
     order = _order(block, seed)
     earlier = (order < F.col("cut_order")) | ((order == F.col("cut_order")) & (block < F.col("cut_block")))
     same = (order == F.col("cut_order")) & (block == F.col("cut_block")) & F.col("cut_some")
@@ -139,8 +144,10 @@ def mix(docs: DataFrame, *, seed: int = 1, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, n_tokens, weight (of its source), copies.
 
     A null source is a source of its own; null and empty texts have no tokens, cost nothing and are
-    read with every epoch of their source, and as they come with the last one; repeated rows are rows; an empty table gives no row; other columns
-    play no part. See ``plan`` for the options.
+    read with every epoch of their source, and as they come with the last one; texts of any length
+    count whole; repeated rows are rows, and rows of equal place (which is a hash of the id) and id
+    are read equally often; an empty table gives no row; other columns play no part. See ``plan`` for
+    the options.
     """
     narrow, sources = plan(docs, seed=seed, **options)
     joined = common.join_hot(narrow, sources.drop("tokens"), "key", "docs", max(narrow.count(), 1))
@@ -148,7 +155,7 @@ def mix(docs: DataFrame, *, seed: int = 1, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, *, seed: int = 1, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix reads it."""
+    """The rows of ``docs``, all columns, each as often as the mix reads it (odd rows as in ``mix``)."""
     narrow, sources = plan(docs, seed=seed, **options)
     shaped = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), source_key(docs["source"]).alias("key"), F.xxhash64(docs["doc_id"], F.lit(seed)).alias("place"))
     joined = common.join_hot(shaped, sources, "key", "docs", max(narrow.count(), 1))
