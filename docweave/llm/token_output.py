@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,23 @@ _BLOCK = pa.schema(
 )
 
 
+_NO_ID = -1e19  # below every id
+
+
 def _narrow(raw: bytes, width: int) -> bytes:
     return np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw
 
 
+def _slice(raw: bytes, most: int, width: int, doc_id: int | None) -> bytes:
+    room = (len(raw) - most) // width
+    at = zlib.crc32(str(doc_id).encode()) % (room + 1) * width if room > 0 else 0
+    return raw[at : at + most]
+
+
 def train_dictionary(docs: DataFrame, *, vocabulary: str, width: int, documents: int = 3000, most: int = 1 << 15, size: int = 1 << 16) -> bytes:
-    """A zstandard dictionary from the serialized ids of about ``documents`` rows, at most ``most``
-    bytes of each (both bounds only limit what it is trained on). Empty if there is too little."""
+    """A zstandard dictionary from the serialized ids of about ``documents`` rows. Of an array longer than
+    ``most`` bytes it takes a slice, from a place that the id's hash gives (both bounds only limit
+    what it is trained on). Empty if there is too little."""
     import zstandard
 
     sample = common.sampled(docs.select("doc_id", "text"), F.col("doc_id"), documents)
@@ -35,7 +46,7 @@ def train_dictionary(docs: DataFrame, *, vocabulary: str, width: int, documents:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(vocabulary).many
         for ids, texts in common.rows(batches, "doc_id", "text"):
-            made = [_narrow(raw + tokens.END, width)[:most] for raw in encode([t or "" for t in texts])]
+            made = [_slice(_narrow(raw + tokens.END, width), most, width, i) for i, raw in zip(ids, encode([t or "" for t in texts]), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
     rows = common.arrow_map(sample, run, "doc_id bigint, ids binary").collect()
@@ -54,7 +65,8 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, parts: i
     ids, offsets and lengths, and one zstandard frame a document, all with the shared dictionary,
     which stands in ``path``/dictionary under its SHA-256. ``tokens_before`` counts the part's ids
     before the block. A document's ids are those of its text and then id 0; null texts are empty,
-    null ids come first, equal ids in the order of their frames; an empty table gives no block.
+    null ids come first, equal ids in the order of their frames' checksums, spread over parts if they
+    are many; an empty table gives no block. A text of any length is one frame.
     """
     import zstandard
 
@@ -65,16 +77,18 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, parts: i
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, width, bytearray(dictionary))], "dict_hash string, width int, dictionary binary").write.parquet(f"{path}/dictionary")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [])
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("double"), F.lit(_NO_ID)).alias("d"))
+    bounds = np.array(sorted(ids.approxQuantile("d", [i / parts for i in range(1, parts)], 0.2 / parts)) if parts > 1 else [])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = tokens.encoder(vocabulary).many
         pack = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("frame", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sum", pa.int64()), ("frame", pa.binary())])
         for ids, texts in common.rows(batches, "doc_id", "text"):
-            part = [0 if i is None else int(np.searchsorted(bounds, float(i), "right")) for i in ids]
             raw = [r + tokens.END for r in many([t or "" for t in texts])]
-            yield common.batch(schema, [part, ids, [len(r) // 4 for r in raw], [pack.compress(_narrow(r, width)) for r in raw]])
+            frames = [pack.compress(_narrow(r, width)) for r in raw]
+            sums = [zlib.crc32(f) for f in frames]
+            yield common.batch(schema, [_parts(bounds, ids, sums), ids, [len(r) // 4 for r in raw], sums, frames])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, int, bytes]] = []
@@ -90,7 +104,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, parts: i
             held.clear()
             return common.batch(_BLOCK, [[x] for x in row])
 
-        for ps, ids, ns, frames in common.rows(batches, "part", "doc_id", "n", "frame"):
+        for ps, ids, ns, frames in common.rows(batches, "part", "doc_id", "n", "frame"):  # as sorted
             for p, i, n, frame in zip(ps, ids, ns, frames, strict=True):
                 if held and (p != now or size >= block_bytes):
                     yield dump()
@@ -101,11 +115,22 @@ def write(docs: DataFrame, path: str, *, vocabulary: str | None = None, parts: i
         if held:
             yield dump()
 
-    encoded = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id bigint, n bigint, frame binary")
-    dealt = encoded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "frame")
+    encoded = common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "part int, doc_id bigint, n bigint, sum bigint, frame binary")
+    dealt = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "sum", "frame")
     common.arrow_map(dealt.select("part", "doc_id", "n", "frame"), lay, BLOCK).write.parquet(f"{path}/blocks")
 
 
+def _parts(bounds: np.ndarray, ids: list[int | None], sums: list[int]) -> list[int]:
+    """Part of each document by its id. An id that is a bound may stand on either side of it, and one
+    that is several bounds in all parts between them: there the checksum decides, so an id of many
+    rows doesn't fill one part."""
+    x = np.array([_NO_ID if i is None else float(i) for i in ids])
+    low, high = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+    exact = np.array([i is None or abs(i) < 1 << 53 for i in ids], bool)  # else other ids are equal as doubles
+    spread = low + (high - low + 1) * np.array(sums, np.int64) // (1 << 32)
+    return np.where(exact, spread, high).tolist()
+
+
 def _decoder(dictionaries: dict[str, bytes]):
     import zstandard
 

@@ -18,6 +18,7 @@ END = b"\0\0\0\0"
 #: White space other than lone spaces and lone line breaks between non-space characters.
 _ODD = re.compile(r"[^\S \n]")
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
+LONGEST = 200
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, then punctuation: two pieces, whatever stands before.
 _TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
@@ -26,8 +27,9 @@ _TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes. One per worker process.
 
-    Words are remembered in two generations of at most ``capacity`` each: when the young one is
-    full it becomes the old one, and what is used again moves back, so memory is bounded.
+    Words of up to ``LONGEST`` characters are remembered in two generations of at most ``capacity``
+    each, a batch aside: when the young one is full it becomes the old one, and what is used again
+    moves back, so memory is bounded (by about 250 bytes a word).
     """
 
     def __init__(self, path: str, capacity: int = 250_000):
@@ -41,6 +43,7 @@ class WordEncoder:
         #: By place: 0 at the start of a line, 1 after a space.
         self.young: list[dict[str, bytes]] = [{}, {}]
         self.old: list[dict[str, bytes]] = [{}, {}]
+        self.passing: list[tuple[int, str]] = []  # longer words, for one batch
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,6 +94,8 @@ class WordEncoder:
             self.young[0][t] = self.plain(t)
         for w, h, t in tails:
             young[w] = young[h] + self.young[0][t]
+        self.passing += [(place, w) for w in wanted if len(w) > LONGEST]
+        self.passing += [x for w, _, t in tails if len(w) > LONGEST for x in ((place, w), (0, t))]
 
     def many(self, texts: list[str]) -> list[bytes]:
         cut: list[list[list[str]]] = []
@@ -109,7 +114,11 @@ class WordEncoder:
         self._learn(rest, 1)
         self._learn(firsts, 0)
         first, after, newline = self.young[0].__getitem__, self.young[1].__getitem__, self.newline
-        return [newline.join([first(line[0]) + b"".join(map(after, line[1:])) for line in lines]) if lines else self._odd(t) for t, lines in zip(texts, cut, strict=True)]
+        out = [newline.join([first(line[0]) + b"".join(map(after, line[1:])) for line in lines]) if lines else self._odd(t) for t, lines in zip(texts, cut, strict=True)]
+        for place, w in self.passing:
+            self.young[place].pop(w, None)
+        self.passing.clear()
+        return out
 
     def _odd(self, text: str) -> bytes:
         """A text with other white space: pieces between safe spaces, encoded in groups of 64."""
