@@ -59,61 +59,109 @@ class SumOfSquares:
         return window, h
 
 
-def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None) -> DataFrame:
+def close(capacity: int, windows: list[list[tuple]]) -> tuple[list[list[tuple]], list[list[tuple]]]:
+    """(full, open) windows at the end of a stream: a window joins one or two others that fill it
+    exactly, the fullest first, found in the array of windows by level."""
+    by_level: list[list[list[tuple]]] = [[] for _ in range(capacity + 1)]
+    for w in windows:
+        by_level[sum(p[2] for p in w)].append(w)
+    count = np.array([len(x) for x in by_level])
+    full, left = [], []
+    for h in range(capacity - 1, 0, -1):
+        while by_level[h]:
+            own, room = by_level[h].pop(), capacity - h
+            count[h] -= 1
+            a = np.arange(1, room // 2 + 1)
+            two = a[(count[a] > 0) & (count[room - a] > (2 * a == room))]
+            others = [room] if count[room] else [room - two[-1], two[-1]] if len(two) else []
+            for level in others:
+                own = own + by_level[level].pop()
+                count[level] -= 1
+            (full if others else left).append(own)
+    return full, left
+
+
+def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None, lane_rests: int = 16_384) -> DataFrame:
     """One row per piece: where the ids ``start`` .. ``start + length`` of a document lie.
 
     A document's ids are those of its whole text and then id 0 (so an empty or null text has one
     id). It is cut into full windows and a rest; rests are placed by ``SumOfSquares``. Each task
-    packs its own rows as they come, with no shuffle, and holds only open windows' rests. At a
-    task's end its windows that are still open are laid end to end and cut anew into full windows,
-    and the last of them into powers of two, so nothing is padded. ``piece_ids`` has the piece's
-    ids as little-endian unsigned 32-bit numbers.
-
-    Rows are packed as they are: repeated rows, ties and null ids get pieces each; other columns
-    are ignored; an empty table gives no row. ``sequence_id`` is the partition's number times 2**40
-    plus a running number, so a repeated task gives the same ids.
+    packs its own rows as they come, and writes them. Rests of windows that are open at its end (some
+    1,500, whatever the task's size) go through one small exchange into lanes of about
+    ``lane_rests``, where the same rule places them. Of what a lane leaves open, windows that fill
+    each other join (``close``); only those without such others are laid end to end and cut anew
+    into full windows, and the last of them into powers of two, so nothing is padded. ``piece_ids`` has the piece's ids as little-endian unsigned 32-bit numbers.
+
+    Rows are packed as they are: repeated rows, ties and null ids get pieces each; a text of any
+    length is encoded whole; other columns are ignored; an empty table gives no row.
+    ``sequence_id`` is the number of the task or lane that filled the window times 2**32 plus a
+    running number, lanes from 2**62 on, so a repeated task gives the same ids.
     """
     vocabulary = vocabulary or tokens.default_vocabulary()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).many
-        packer = SumOfSquares(window)
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        open_rests: dict[int, list[tuple]] = {}
-        out: list[tuple] = []
+    def flush(out: list[tuple]) -> pa.RecordBatch:
+        made = common.batch(_ARROW, [list(c) for c in zip(*out, strict=True)])
+        out.clear()
+        return made
 
-        def flush() -> pa.RecordBatch:
-            made = common.batch(_ARROW, [list(c) for c in zip(*out, strict=True)])
-            out.clear()
-            return made
+    def place(packer: SumOfSquares, held: dict[int, list[tuple]], piece: tuple, first: int, out: list[tuple]) -> None:
+        where, offset = packer.place(piece[2])
+        held.setdefault(where, []).append(piece)
+        if offset + piece[2] == packer.capacity:
+            out.extend(_laid(held.pop(where), first + where))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokens.encoder(vocabulary).many
+        packer, held, out = SumOfSquares(window), {}, []
+        first = _task() << 32
         for ids, texts in common.rows(batches, "doc_id", "text"):
             for doc_id, raw in zip(ids, encode([t or "" for t in texts]), strict=True):
                 raw += tokens.END
                 n = len(raw) // 4
-                full = n - n % window
-                for at in range(0, full, window):
-                    where, _ = packer.place(window)
-                    out.append((doc_id, at, window, n, first + where, 0, raw[4 * at : 4 * (at + window)]))
-                if full < n:
-                    where, offset = packer.place(n - full)
-                    rest = (doc_id, full, n - full, n, first + where, offset, raw[4 * full :])
-                    held = open_rests.setdefault(where, [])
-                    held.append(rest)
-                    if offset + n - full == window:
-                        out.extend(open_rests.pop(where))
+                for at in range(0, n, window):
+                    place(packer, held, (doc_id, at, min(window, n - at), n, None, None, raw[4 * at : 4 * (at + window)]), first, out)
+                    if len(out) >= 512:
+                        yield flush(out)
+        out.extend(p for pieces in held.values() for p in pieces)
+        if out:
+            yield flush(out)
+
+    def lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, held, out = SumOfSquares(window), {}, []
+        first = (1 << 62) + (_task() << 32)
+        for columns in common.rows(batches, *_ARROW.names):
+            for piece in zip(*columns, strict=True):
+                place(packer, held, piece, first, out)
             if len(out) >= 512:
-                yield flush()
-        out.extend(_relay(open_rests, window, first + packer.made))
+                yield flush(out)
+        full, left = close(window, list(held.values()))
+        for number, pieces in enumerate(full, first + packer.made):
+            out.extend(_laid(pieces, number))
+        out.extend(_relay(left, window, first + packer.made + len(full)))
         if out:
-            yield flush()
+            yield flush(out)
 
-    return common.arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
+    placed = common.materialize(common.arrow_map(docs.select("doc_id", "text"), run, SCHEMA), "pieces", compression="zstd")
+    rests = placed.where("sequence_id is null")
+    lanes = rests.count() // lane_rests + 1
+    return placed.where("sequence_id is not null").unionByName(common.arrow_map(rests.repartition(lanes), lane, SCHEMA))
+
+
+def _task() -> int:
+    return TaskContext.get().partitionId() if TaskContext.get() else 0
+
+
+def _laid(pieces: list[tuple], sequence: int) -> Iterator[tuple]:
+    """The pieces of a window, one after another."""
+    offset = 0
+    for doc_id, start, length, n, _, _, raw in pieces:
+        yield doc_id, start, length, n, sequence, offset, raw
+        offset += length
 
 
-def _relay(open_rests: dict[int, list[tuple]], window: int, next_id: int) -> Iterator[tuple]:
+def _relay(windows: list[list[tuple]], window: int, next_id: int) -> Iterator[tuple]:
     """The pieces of windows that stayed open, cut anew into full windows and then powers of two."""
-    pieces = [p for where in sorted(open_rests) for p in open_rests[where]]
+    pieces = [p for w in windows for p in w]
     left = sum(p[2] for p in pieces)
     sizes = [window] * (left // window) + [1 << b for b in range((left % window).bit_length() - 1, -1, -1) if left % window >> b & 1]
     room, offset, sequence = 0, 0, next_id - 1
