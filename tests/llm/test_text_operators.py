@@ -160,7 +160,7 @@ def test_quotient_filters_merge_losslessly():
     values = np.concatenate((values, values[:50], np.repeat(values[:1], 700)))
     parts = np.array_split(rng.permutation(values), 7)
     width, q = 1 << 4, 12
-    filters = [exact_dedup.CountingQuotientFilter.load(exact_dedup.CountingQuotientFilter.build(q, 0, x).dump(width)) for x in parts]
+    filters = [exact_dedup.CountingQuotientFilter.load(exact_dedup.CountingQuotientFilter.build(q, 0, x).dump(width), q, 0, width) for x in parts]
     merged = exact_dedup.CountingQuotientFilter.merge(filters)
     want, counts = np.unique(values, return_counts=True)
     assert merged.fingerprints.tolist() == want.tolist() and merged.counts.tolist() == counts.tolist()
@@ -360,5 +360,10 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     x = np.zeros((80, 30))
     for i, r in enumerate(rows):
         x[i, r] = values[r] / np.sqrt(len(r))
-    slack = np.maximum(0, 1 - y * (x @ w))
-    assert w == pytest.approx(2 * x.T @ (cost * slack * y), abs=1e-4)  # gradient of the primal is zero
+    # hinge loss: the dual's value, found by projected gradient from many steps, equals the primal's
+    k, alpha = (y[:, None] * x) @ (y[:, None] * x).T, np.zeros(80)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (k @ alpha - 1) / np.linalg.norm(k, 2), 0, cost)
+    primal = 0.5 * w @ w + cost @ np.maximum(0, 1 - y * (x @ w))
+    assert primal == pytest.approx(alpha.sum() - 0.5 * alpha @ k @ alpha, abs=1e-4)
+    assert w == pytest.approx(x.T @ (alpha * y), abs=1e-3)
