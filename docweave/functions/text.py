@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,12 +114,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
-def dot_literal(a: Column, vector: list[float]) -> Column:
-    """Inner product with a fixed vector, unrolled: it stays inside generated code."""
-    terms = [F.get(a, F.lit(i)).cast("double") * F.lit(float(v)) for i, v in enumerate(vector)]
-    return reduce(lambda x, y: x + y, terms, F.lit(0.0))
-
-
 def l2_normalized(a: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
     norm = F.sqrt(dot(a, a))

@@ -130,42 +130,35 @@ def pack(paragraphs: list[str], how: Chunking) -> list[tuple[str, int]]:
 
     Offsets count from the first chunk's start and grow by each chunk's length and a blank line.
     """
-    paragraphs = [p for p in (q.strip() for q in paragraphs) if p]
-    return _pack_reference(paragraphs, how) if how.overlap_mode == "reference" else _pack_clean(paragraphs, how)
-
-
-def _pack_clean(paragraphs: list[str], how: Chunking) -> list[tuple[str, int]]:
-    out: list[tuple[str, int]] = []
-    lead, own, at = "", "", 0
-    for p in paragraphs:
-        if own and len(lead) + len(own) + 2 + len(p) + (2 if lead else 0) > how.max_size:
-            out.append((f"{lead}\n\n{own}" if lead else own, at))
-            at += len(own) + 2
-            room = min(how.overlap, how.max_size - len(p) - 2)
-            lead, own = own[-room:] if room > 0 else "", p
-        else:
-            own = f"{own}\n\n{p}" if own else p
-    if own:
-        out.append((f"{lead}\n\n{own}" if lead else own, at))
-    return out
-
-
-def _pack_reference(paragraphs: list[str], how: Chunking) -> list[tuple[str, int]]:
+    again = how.overlap_mode == "reference"  # the lead stands before each paragraph, not once a chunk
     out: list[tuple[str, int]] = []
-    tail, now, at = "", "", 0
-    for p in paragraphs:
-        piece = f"{tail}\n\n{p}" if tail else p
-        if not now:
-            now = piece
-        elif len(now) + len(piece) + 2 <= how.max_size:
-            now = f"{now}\n\n{piece}"
-        else:
-            body = now.strip()
-            out.append((body, at))
-            at += len(now) + 2
-            tail, now = body[-how.overlap :] if 0 < how.overlap < len(body) else body, piece
-    if now:
-        out.append((now.strip(), at))
+    held: list[str] = []
+    lead, size, at = "", 0, 0
+
+    def close() -> str:
+        """The chunk's text goes out; what of it may lead the next one."""
+        nonlocal at
+        text = "\n\n".join(held)
+        out.append((text.strip() if again else text, at))
+        first = 0 if again or not lead else len(lead) + 2  # a lead counts for the chunk it was taken from
+        at += size - first + 2
+        held.clear()
+        return out[-1][0][first:]
+
+    for p in filter(None, map(str.strip, paragraphs)):
+        piece = f"{lead}\n\n{p}" if lead and (again or not held) else p
+        if held and size + 2 + len(piece) > how.max_size:
+            text = close()
+            if again:
+                lead = text[-how.overlap :] if 0 < how.overlap < len(text) else text
+            else:
+                room = min(how.overlap, how.max_size - len(p) - 2)
+                lead = text[-room:] if room > 0 else ""
+                piece = f"{lead}\n\n{p}" if lead else p
+        size = size + 2 + len(piece) if held else len(piece)
+        held.append(piece)
+    if held:
+        close()
     return out
 
 

@@ -16,6 +16,11 @@ MOST_SATURATED = 0.60
 LEAST_GAP = 1.0
 
 
+def by_document(spans: DataFrame) -> DataFrame:
+    """Spans hashed by document: histograms, levels, lines, joins and windows all work inside that one exchange."""
+    return spans.repartition("doc")
+
+
 def size_histogram(spans: DataFrame) -> DataFrame:
     """(doc, size, chars): characters of each rounded size, image blocks and short spans left out."""
     t = X.strip(F.col("text"))
@@ -49,7 +54,7 @@ def stitched(lines: DataFrame, levels: DataFrame) -> DataFrame:
     the heading of another size after it are one as well, at the label's level; a heading that has
     taken one in takes no other. So in a chain of labels every second run joins the one before.
     """
-    rows = lines.join(F.broadcast(levels), ["doc", "size"], "left")
+    rows = lines.join(levels, ["doc", "size"], "left")
     block = Window.partitionBy("doc", "page", "block").orderBy("line")
     rows = rows.withColumn("new_run", F.coalesce(F.col("level").isNull() | ~F.col("level").eqNullSafe(F.lag("level").over(block)), F.lit(True)).cast("int"))
     rows = rows.withColumn("run", F.sum("new_run").over(block))
@@ -134,6 +139,7 @@ def render(rows: DataFrame) -> DataFrame:
 def to_markdown(spans: DataFrame) -> DataFrame:
     """(doc, markdown, valid): null markdown where another converter should take over: no text, no
     heading sizes, or a heading tree that fails validation."""
+    spans = by_document(spans)
     hist = size_histogram(spans)
     levels = heading_levels(hist)
     rows = bridged(stitched(text_lines(spans), levels))

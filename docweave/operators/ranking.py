@@ -7,15 +7,21 @@ equal ones tie wherever they are computed; ties go to the corpus's order, then `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import text as X
 
 DIGITS = 9
-MOST_QUERIES = 10_000
+QUERY_BYTES = 1 << 25  # of query vectors that are broadcast at once
+MOST_TERMS = 100_000  # of query terms that are broadcast
 K1, B = 1.5, 0.75
 
 
@@ -29,16 +35,52 @@ def top_per_corpus(hits: DataFrame, k: int, score: str = "raw_score") -> DataFra
     return hits.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def dense_scores(vectors: DataFrame, queries: list[tuple[str, list[float]]]) -> DataFrame:
-    """Inner product of every vector with each query vector (literals in the plan: no join)."""
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once")
+def _best_of(scores: np.ndarray, corpora: np.ndarray, k: int) -> np.ndarray:
+    """Which of (rows, queries) scores may be among the best ``k`` of their corpus: all that reach the k-th."""
+    keep = np.ones(scores.shape, bool)
+    for c in np.unique(corpora):
+        rows = np.flatnonzero(corpora == c)
+        if len(rows) > k:
+            keep[rows] = scores[rows] >= np.partition(scores[rows], len(rows) - k, axis=0)[len(rows) - k]
+    return keep
+
+
+def _dense_group(vectors: DataFrame, names: list[str], matrix: np.ndarray, k: int | None) -> DataFrame:
     rest = [c for c in vectors.columns if c != "embedding"]
-    if len(queries) == 1:
-        return vectors.select(F.lit(queries[0][0]).alias("query_id"), *rest, exact(X.dot_literal(F.col("embedding"), queries[0][1])).alias("raw_score"))
-    asked = F.array(*(F.struct(F.lit(q).alias("id"), F.array(*map(F.lit, v)).alias("v")) for q, v in queries))
-    each = vectors.withColumn("q", F.explode(asked))
-    return each.select(F.col("q.id").alias("query_id"), *rest, exact(X.dot(F.col("embedding"), F.col("q.v"))).alias("raw_score"))
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+    schema = StructType([StructField("query_id", StringType()), *(vectors.schema[c] for c in rest), StructField("raw_score", DoubleType())])
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") == matrix.shape[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        for b in batches:
+            x = b.column(len(rest)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            scores = np.round(x @ matrix, DIGITS)
+            keep = ~np.isnan(scores)
+            if k is not None:
+                corpora = b.column(rest.index("corpus")).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                keep &= _best_of(np.where(keep, scores, -np.inf), corpora, k)
+            for q, name in enumerate(names):
+                at = np.flatnonzero(keep[:, q])
+                if len(at):
+                    own = b.select(list(range(len(rest)))).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), *own.columns, pa.array(scores[at, q])], names=["query_id", *rest, "raw_score"])
+
+    return vectors.where(whole).select(*rest, "embedding").mapInArrow(run, schema)
+
+
+def dense_scores(vectors: DataFrame, queries: list[tuple[str, list[float]]], k: int | None = None) -> DataFrame:
+    """Inner product of every vector with each query vector, a matrix product an Arrow batch.
+
+    With ``k`` a batch gives only what may be among the best ``k`` of its query and corpus, so few
+    rows leave the scan. Vectors of another length, and null ones, have no score. The queries are
+    broadcast; more than ``QUERY_BYTES`` of them take a scan for each such part.
+    """
+    if not queries:
+        return _dense_group(vectors.limit(0), [], np.zeros((0, 0)), k)
+    most = max(1, QUERY_BYTES // (8 * max(1, len(queries[0][1]))))
+    parts = [queries[at : at + most] for at in range(0, len(queries), most)]
+    return reduce(DataFrame.unionByName, (_dense_group(vectors, [q for q, _ in p], np.array([v for _, v in p], float).T, k) for p in parts))
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -62,8 +104,8 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
     """(corpus, term, df) straight from (corpus, text): one aggregate, combined before its shuffle."""
-    terms = texts.select("corpus", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return terms.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = texts.select("corpus", F.explode(F.array_distinct(X.tokens(F.col("text"), stop=False))).alias("term"))
+    return terms.where(~F.col("term").isin(*X.STOP_WORDS)).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -71,15 +113,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25_scores(posts: DataFrame, stats: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(posts: DataFrame, stats: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None, *, n_terms: int = 0, k1: float = K1, b: float = B) -> DataFrame:
     """BM25 (Lucene's form) of every text with a query term; statistics are each corpus's own.
 
-    ``terms`` are the words of at most MOST_QUERIES short queries, so they are broadcast; df is
-    counted over the matching postings only.
+    ``terms`` (query_id, term, qtf) are broadcast if they are known to be ``MOST_TERMS`` at most. df
+    is taken from ``frequencies``, or else counted over the matching postings. 
     """
-    met = posts.join(F.broadcast(terms), "term")
-    df = met.groupBy("corpus", "term", "query_id").agg(F.count(F.lit(1)).alias("df"))
-    rows = met.join(df, ["corpus", "term", "query_id"]).join(F.broadcast(stats), "corpus")
+    asked = F.broadcast(terms) if n_terms <= MOST_TERMS else terms
+    met = posts.join(asked, "term")
+    if frequencies is None:
+        frequencies = met.groupBy("corpus", "term", "query_id").agg(F.count(F.lit(1)).alias("df"))
+        rows = met.join(frequencies, ["corpus", "term", "query_id"])
+    else:
+        rows = met.join(frequencies, ["corpus", "term"])
+    rows = rows.join(F.broadcast(stats), "corpus")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "corpus", "chunk_id", "ord").agg(exact(F.sum(part)).alias("raw_score")).where("raw_score > 0")
@@ -93,16 +140,16 @@ def bm25_search(texts: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     and scores share: texts are read and cut into words once.
     """
     terms = query_terms(queries)
-    asked = [r.asDict() for r in terms.collect()]
-    if not asked:
-        return bm25_scores(postings(texts), corpus_stats(doc_stats(texts)), terms)
+    asked = [r.asDict() for r in terms.limit(MOST_TERMS + 1).collect()]
+    if not asked or len(asked) > MOST_TERMS:
+        return bm25_scores(postings(texts), corpus_stats(doc_stats(texts)), terms, n_terms=len(asked), k1=k1, b=b)
     words = sorted({r["term"] for r in asked})
     t = X.tokens(F.col("text"))
     narrow = texts.select("corpus", "chunk_id", "ord", t.alias("t")).select("corpus", "chunk_id", "ord", F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: x.isin(*words)).alias("m"))
     narrow = narrow.repartition("chunk_id")
     posts = narrow.select("corpus", "chunk_id", "ord", "dl", F.explode("m").alias("term")).groupBy("corpus", "chunk_id", "ord", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     small = texts.sparkSession.createDataFrame([(r["query_id"], r["term"], r["qtf"]) for r in asked], "query_id string, term string, qtf bigint")
-    return bm25_scores(posts, corpus_stats(narrow), small, k1, b)
+    return bm25_scores(posts, corpus_stats(narrow), small, n_terms=len(asked), k1=k1, b=b)
 
 
 def effective_floor(corpora: DataFrame, call: float | None = None, default: float | None = None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -15,6 +15,10 @@ from ..operators import sections as S
 
 MOST_CHARS = 10_000
 MODES = ("chunks", "documents", "auto")
+#: Query words that go into the plan as a filter, which prunes postings when they are read.
+MOST_WORDS = 2_000
+#: (id, text, vector) of each query.
+Asked = list[tuple[str, str, list[float]]]
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,8 @@ class Index:
     chunks: DataFrame
     documents: DataFrame
     postings: DataFrame
+    terms: DataFrame  # corpus, term, df
+    stats: DataFrame  # corpus, n, avgdl
     metric: str = "ip"
 
 
@@ -79,25 +85,51 @@ def chunk_hits(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("ord", F.struct("source_path", "pos"))
 
 
-def lists(index: Index, query: str, vector: list[float], names: list[str], config: Config, r: Request, m: int, hybrid: bool) -> Lists:
-    """Each corpus's best ``m`` by vector, less what the floor drops, and by BM25."""
+def sparse_scores(index: Index, asked: Asked, chosen: Column) -> DataFrame:
+    """BM25 of the stored postings: only those of the queries' words are read, with the stored
+    frequencies and lengths, which count chunks without a word as well."""
+    spark = index.chunks.sparkSession
+    terms = R.query_terms(spark.createDataFrame([(q, t) for q, t, _ in asked], "query_id string, query string")).collect()
+    words = sorted({t.term for t in terms})
+    posts, df = index.postings.where(chosen), index.terms.where(chosen)
+    if len(words) <= MOST_WORDS:
+        posts, df = (x.where(F.col("term").isin(*words)) for x in (posts, df))
+    small = spark.createDataFrame([tuple(t) for t in terms], "query_id string, term string, qtf bigint")
+    return R.bm25_scores(posts, index.stats.where(chosen), small, df, n_terms=len(terms))
+
+
+def lists(index: Index, asked: Asked, names: list[str], config: Config, r: Request, m: int, hybrid: bool, scoped: DataFrame | None = None) -> Lists:
+    """Each corpus's best ``m`` by vector, less what the floor drops, and by BM25. ``scoped``
+    (query_id, corpus) says which corpora a query asks, if not all of ``names``."""
     chosen = F.col("corpus").isin(*names)
+
+    def best(hits: DataFrame) -> DataFrame:
+        own = hits if scoped is None else hits.join(F.broadcast(scoped), ["query_id", "corpus"], "left_semi")
+        return R.top_per_corpus(own, m)
+
     vectors = chunk_hits(index.chunks.where(chosen & F.col("embedding").isNotNull())).select("corpus", "chunk_id", "ord", "embedding")
-    dense = R.top_per_corpus(R.dense_scores(vectors, [("q", vector)]), m)
+    dense = best(R.dense_scores(vectors, [(q, v) for q, _, v in asked], m))
     floors = R.effective_floor(index.corpora.where(chosen), r.max_distance, config.search.max_distance)
     marked = R.apply_floor(dense, floors)
-    dense = marked.where("kept").drop("kept", "rank")
-    dense = R.top_per_corpus(dense, m)
-    sparse = None
-    if hybrid:
-        spark = index.chunks.sparkSession
-        posts = index.postings.where(chosen)
-        stats = R.corpus_stats(posts.select("corpus", "chunk_id", "dl").distinct())
-        terms = R.query_terms(spark.createDataFrame([("q", query)], "query_id string, query string"))
-        sparse = R.top_per_corpus(R.bm25_scores(posts, stats, terms), m)
+    dense = R.top_per_corpus(marked.where("kept").drop("kept", "rank"), m)
+    sparse = best(sparse_scores(index, asked, chosen)) if hybrid else None
     return Lists(dense, sparse, marked.where("not kept"))
 
 
+def ranked(index: Index, asked: Asked, scoped: list[tuple[str, str]], config: Config, r: Request, hybrid: bool) -> DataFrame:
+    """Hits of many queries at once, each in its own corpora, by ``place``."""
+    scope = index.chunks.sparkSession.createDataFrame(scoped, "query_id string, corpus string")
+    m = 2 * r.top_k
+    found = lists(index, asked, sorted({c for _, c in scoped}), config, r, m, hybrid, scope)
+    return R.merge(_merged(found, index, config, m), index.corpora, None)
+
+
+def _merged(found: Lists, index: Index, config: Config, m: int) -> DataFrame:
+    if found.sparse is not None:
+        return R.top_per_corpus(R.fuse(found.dense, found.sparse, fusion_of(config)), m, "score").drop("rank")
+    return R.weighted(found.dense.drop("rank"), index.corpora)
+
+
 def fusion_of(config: Config) -> R.Fusion:
     s = config.search
     return R.Fusion(s.fusion_alpha, s.rrf_k, s.dense_weight, s.bm25_weight)
@@ -136,12 +168,8 @@ def search(index: Index, config: Config, r: Request, vector: list[float]) -> dic
     if r.section_filter:
         return _search_sections(index, config, r, vector, names, hybrid)
     m = 2 * r.top_k
-    found = lists(index, r.query, vector, names, config, r, m, hybrid)
-    if hybrid:
-        hits = R.top_per_corpus(R.fuse(found.dense, found.sparse, fusion_of(config)), m, "score").drop("rank")
-    else:
-        hits = R.weighted(found.dense.drop("rank"), weights)
-    hits = described(R.merge(hits, weights, None).drop("place", "corpus_ord"), index)
+    found = lists(index, [("q", r.query, vector)], names, config, r, m, hybrid)
+    hits = described(R.merge(_merged(found, index, config, m), weights, None).drop("place", "corpus_ord"), index)
     if config.search.toc_rerank:
         hits = R.rerank_by_headings(hits, F.lit(r.query), config.search.toc_rerank_weight)
     hits = R.merge(hits, weights, None)
@@ -179,11 +207,11 @@ def _search_sections(index: Index, config: Config, r: Request, vector: list[floa
     wide = S.sections_for_sparse(chunks, r.section_filter) if hybrid else wanted
     if not wanted.take(1) and not wide.take(1):
         return error(f"section not found: {r.section_filter}", r.query)
-    narrowed = Index(index.corpora, inside, index.documents, index.postings, index.metric)
-    found = lists(narrowed, r.query, vector, names, config, r, r.top_k, False)
+    narrowed, asked = replace(index, chunks=inside), [("q", r.query, vector)]
+    found = lists(narrowed, asked, names, config, r, r.top_k, False)
     hits = R.weighted(found.dense.drop("rank"), index.corpora).withColumn("dense_score", F.col("raw_score"))
     if hybrid:
-        sparse = lists(index, r.query, vector, names, config, r, 3 * r.top_k, True).sparse.drop("rank")
+        sparse = R.top_per_corpus(sparse_scores(index, asked, chosen), 3 * r.top_k).drop("rank")
         ids = chunks.join(wide, ["corpus", "section_id"], "left_semi").select("corpus", "chunk_id")
         sparse = R.top_per_corpus(sparse.join(ids, ["corpus", "chunk_id"], "left_semi"), 3 * r.top_k)
         fused = R.top_per_corpus(R.fuse(found.dense, sparse, fusion_of(config)), r.top_k, "score").drop("rank")

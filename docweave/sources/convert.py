@@ -8,11 +8,14 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import layout
 
 TEXT = (".md", ".txt", ".markdown")
 #: Formats that need a converter handed in, as no library for them is a requirement.
@@ -173,6 +176,37 @@ def convert_files(files: DataFrame, plugins: dict[str, Callable[[bytes], str]] |
     return files.mapInArrow(run, f"{schema}, markdown string, error string")
 
 
+SPANS = "corpus string, source_path string, page int, block int, block_type int, line int, span int, text string, size double, error string"
+
+
+def pdf_spans(files: DataFrame, extract: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """Text spans of (corpus, source_path, content): ``extract`` gives (page, block, block_type, line,
+    span, text, size) of a file's bytes; its error is a row with nothing else."""
+    schema = pa.schema([("corpus", pa.string()), ("source_path", pa.string())] + [(n, pa.int32()) for n in ("page", "block", "block_type", "line", "span")] + [("text", pa.string()), ("size", pa.float64()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for corpus, path, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    rows = [(corpus, path, *span, None) for span in extract(raw or b"")]
+                except Exception as e:  # one bad file mustn't end the run
+                    rows = [(corpus, path, *[None] * 7, str(e)[:300])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return files.select("corpus", "source_path", "content").mapInArrow(run, SPANS)
+
+
+def pdf_markdown(files: DataFrame, extract: Callable[[bytes], Iterable[tuple]]) -> DataFrame:
+    """(corpus, source_path, markdown) of PDF files by their font sizes; null markdown where there is no
+    text, no heading size, an unlikely heading tree or an error: there another converter takes over."""
+    doc = F.to_json(F.struct("corpus", "source_path"))
+    spans = pdf_spans(files, extract).where("error is null").withColumn("doc", doc)
+    made = layout.to_markdown(spans).select("doc", "markdown")
+    named = files.select("corpus", "source_path", doc.alias("doc"))
+    return named.join(made, "doc", "left").select("corpus", "source_path", "markdown")
+
+
 def convert_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, markdown) of raw web pages."""
 

@@ -1,14 +1,16 @@
-"""Uploading and deleting a corpus's files, with their checks in a fixed order."""
+"""Uploading, fetching and deleting a corpus's files, wherever it lies, with their checks in a fixed order."""
 
 from __future__ import annotations
 
 import base64
 import binascii
-import os
-import tempfile
+import mimetypes
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from ..config import Config
+from .paths import Folder
 
 
 def list_folders(config: Config) -> dict[str, Any]:
@@ -23,46 +25,77 @@ def decode(content: str) -> bytes:
         raise ValueError("Invalid base64 content") from e
 
 
-def save(config: Config, corpus: str, name: str, raw: bytes) -> dict[str, Any]:
+def _home(config: Config, corpus: str) -> str | None:
+    return next((c.path.rstrip("/") for c in config.corpora if c.name == corpus), None)
+
+
+def _base(name: str) -> str | None:
+    """The last part of a name, under which alone a file may be stored; None if there is none."""
+    base = name.replace("\\", "/").rsplit("/", 1)[-1].strip()
+    return None if base in ("", ".", "..") else base
+
+
+def save(spark: SparkSession, config: Config, corpus: str, name: str, raw: bytes) -> dict[str, Any]:
     """Write a file into a corpus's folder: under a temporary name first, then moved."""
     up = config.upload
     if corpus not in up.allow:
         return {"error": f"Corpus '{corpus}' does not accept uploads"}
-    home = next((c.path for c in config.corpora if c.name == corpus), None)
-    if home is None:
+    if (home := _home(config, corpus)) is None:
         return {"error": f"corpus not found: {corpus}"}
-    base = os.path.basename(name.replace("\\", "/")).strip()
-    if not base or base in (".", ".."):
+    if (base := _base(name)) is None:
         return {"error": "Invalid filename"}
-    ext = os.path.splitext(base)[1].lower()
+    ext = base[base.rindex(".") :].lower() if "." in base.lstrip(".") else ""
     if ext not in up.allowed_extensions:
         return {"error": f"Extension '{ext}' not allowed. Permitted: {sorted(up.allowed_extensions)}"}
     if len(raw) > up.max_file_size:
-        return {"error": f"File too large ({len(raw)} bytes, max {up.max_file_size // (1024 * 1024)}MB)"}
-    os.makedirs(home, exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=home)
-    with os.fdopen(handle, "wb") as f:
-        f.write(raw)
-    target = os.path.join(home, base)
-    os.replace(temp, target)
-    return {"status": "ok", "corpus": corpus, "filename": base, "path": target, "size": len(raw)}
+        return {"error": f"File too large ({len(raw)} bytes, max {up.max_file_size / (1024 * 1024):.0f}MB)"}
+    try:
+        folder = Folder(spark, home)
+        folder.make()
+        folder.replace(base, raw)
+    except Exception:  # whatever the file system says, the caller gets an answer
+        return {"error": f"Failed to save file: {base}"}
+    return {"corpus": corpus, "filename": base, "path": f"{home}/{base}", "size_bytes": len(raw), "saved": True, "indexed": False}
 
 
-def delete(config: Config, corpus: str, name: str) -> dict[str, Any]:
-    if corpus not in config.upload.allow:
-        return {"error": f"Corpus '{corpus}' does not accept uploads (delete not allowed)"}
-    home = next((c.path for c in config.corpora if c.name == corpus), None)
-    if home is None:
+def _found(spark: SparkSession, config: Config, corpus: str, name: str) -> dict[str, Any]:
+    """The file of that name in a corpus's own folder: {"folder", "base", "size"}, or an error."""
+    if (home := _home(config, corpus)) is None:
         return {"error": f"corpus not found: {corpus}"}
-    base = os.path.basename(name.replace("\\", "/")).strip()
-    if not base or base in (".", ".."):
+    if (base := _base(name)) is None:
         return {"error": "Invalid filename"}
-    root, target = os.path.realpath(home), os.path.realpath(os.path.join(home, base))
-    if not target.startswith(root + os.sep):
-        return {"error": "Invalid filename (path traversal detected)"}
-    if not os.path.exists(target):
+    folder = Folder(spark, home)
+    entry = folder.entry(base)
+    if entry is None:
         return {"error": f"File not found: {base}"}
-    if not os.path.isfile(target):
+    if entry.folder:
         return {"error": f"Not a file: {base}"}
-    os.unlink(target)
-    return {"status": "ok", "corpus": corpus, "filename": base, "deleted": True}
+    return {"folder": folder, "base": base, "size": entry.size}
+
+
+def delete(spark: SparkSession, config: Config, corpus: str, name: str) -> dict[str, Any]:
+    if corpus not in config.upload.allow:
+        return {"error": f"Corpus '{corpus}' does not accept uploads (delete not allowed)"}
+    found = _found(spark, config, corpus, name)
+    if "error" in found:
+        return found
+    base = found["base"]
+    try:
+        gone = found["folder"].delete(base)
+    except Exception:
+        gone = False
+    if not gone:
+        return {"error": f"Failed to delete file: {base}"}
+    return {"corpus": corpus, "filename": base, "path": f"{found['folder'].root}/{base}", "size_bytes": found["size"], "deleted": True, "indexed": False}
+
+
+def fetch(spark: SparkSession, config: Config, corpus: str, name: str) -> dict[str, Any]:
+    """A file's bytes as they are, with their media type. Names that lead elsewhere are refused."""
+    parts = name.replace("\\", "/").split("/")
+    if ".." in parts or name.startswith("/") or len(parts) != 1:
+        return {"error": "Invalid filename (path traversal detected)"}
+    found = _found(spark, config, corpus, name)
+    if "error" in found:
+        return found
+    kind = mimetypes.guess_type(found["base"])[0] or "application/octet-stream"
+    return {"corpus": corpus, "filename": found["base"], "media_type": kind, "size_bytes": found["size"], "content": found["folder"].read(found["base"])}

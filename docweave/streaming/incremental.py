@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.chunking import Chunking, chunk_documents
+from ..plans.engine import Engine
 from ..sources.convert import convert_files
 
 
@@ -20,7 +21,8 @@ def file_stream(spark: SparkSession, path: str, corpus: str, extensions: list[st
 
 
 def index_stream(files: DataFrame, target: str, checkpoint: str, how: Chunking = Chunking()) -> StreamingQuery:
-    """Write each batch's chunks to ``target``/batch=<id>: a batch that runs again overwrites itself."""
+    """Write each batch's chunks to ``target``/batch=<id>: a batch that runs again overwrites itself.
+    ``current`` reads them with a file's last batch alone."""
 
     def one(batch: DataFrame, number: int) -> None:
         docs = convert_files(batch).where("error is null")
@@ -29,8 +31,20 @@ def index_stream(files: DataFrame, target: str, checkpoint: str, how: Chunking =
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def recent(cache: DataFrame, seconds: int) -> DataFrame:
-    """A stream or table of (key, ts, ...) without what has expired; streams keep state by watermark."""
-    return cache.where(F.col("ts") > F.current_timestamp() - F.expr(f"interval {int(seconds)} seconds"))
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks that a stream wrote, of each file those of the last batch that held it."""
+    rows = spark.read.parquet(target)
+    last = rows.groupBy("corpus", "source_path").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["corpus", "source_path", "batch"], "left_semi").drop("batch")
 
 
+def engine_stream(engine: Engine, corpus: str, checkpoint: str) -> StreamingQuery:
+    """New files of a corpus's folder into the engine's index, batch by batch: a file replaces what the
+    index holds of it, so a batch that runs again changes nothing."""
+    home = next(c for c in engine.config.corpora if c.name == corpus)
+    files = file_stream(engine.spark, home.path, corpus, home.extensions)
+
+    def one(batch: DataFrame, number: int) -> None:
+        engine.upsert(batch, [corpus])
+
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -52,7 +52,7 @@ def test_errors(engine):
     assert engine.search("x", return_mode="all")["error"] == "Invalid return_mode: 'all'. Must be 'chunks', 'documents', or 'auto'."
     assert engine.search("x", corpora=["nope"])["error"] == "corpus not found: nope"
     assert engine.search("x", section_filter="No Such")["error"] == "section not found: No Such"
-    assert "did you mean top_k?" in engine.call("search", {"query": "x", "topk": 1})["error"]
+    assert "did you mean 'top_k'?" in engine.call("search", {"query": "x", "topk": 1})["error"]
     assert engine.get_chunk("nope")["error"] == "Chunk not found: nope"
 
 
