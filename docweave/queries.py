@@ -6,18 +6,23 @@ rendered as markdown; C4 ``pages``; C5 text spans laid out from ``lineitem``.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .config import Config, Corpus, Indexing
 from .functions import text as X
 from .operators import evaluate as E
 from .operators import ingest as I
 from .operators import layout as L
 from .operators import ranking as R
 from .operators import sections as S
-from .operators.chunking import Chunking, chunk_documents, split_paragraphs
+from .operators.chunking import Chunking, chunk_documents
+from .plans.embed import HashingEmbedder
+from .plans.engine import Engine
 from .sources.convert import convert_pages
 
 WEIGHTS = [("en", 1.5, None, 0), ("de", 1.3, 0.9, 1), ("fr", 1.0, None, 2), ("es", 1.0, 0.7, 3)]
@@ -74,7 +79,8 @@ def query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_scores(vectors(spark, sf_dir), [("q", query_vector(spark, sf_dir))])
+    """Scores of the vectors that may be among the best 2 K of their corpus: no query asks for more."""
+    return R.dense_scores(vectors(spark, sf_dir), [("q", query_vector(spark, sf_dir))], 2 * K)
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +211,7 @@ def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.document_frequencies(texts(spark, sf_dir))
 
 
-@query(f"WITH {C1}, {TOKENS} SELECT corpus, doc_id, term, tf, dl FROM posts JOIN dls USING (corpus, doc_id) WHERE length(term) > 10")
+@query(f"WITH {C1}, {TOKENS} SELECT corpus, doc_id, term, tf, dl FROM posts JOIN dls USING (corpus, doc_id)")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored form: every text's words and counts."""
     return R.postings(texts(spark, sf_dir)).select("corpus", F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
@@ -310,17 +316,17 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hash_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document in the default number of dimensions; null texts are empty ones."""
-    v = X.hashed_embedding(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(v, lambda x: F.round(x, 6)).alias("embedding"))
+    """Every document in 64 dimensions by the engine's embedder; null texts are empty ones."""
+    v = HashingEmbedder(64).column(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(v, lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (vec_id % 5)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e)
-SELECT vec_id, round(CASE WHEN norm = 0 THEN v[1] ELSE v[1] / norm END, 6) AS first, round(CASE WHEN norm = 0 THEN 0 ELSE list_dot_product(v, v) / norm / norm END, 6) AS square FROM n""")
+SELECT vec_id, round(CASE WHEN norm = 0 THEN v[1] ELSE v[1] / norm END, 6) + 0.0::DOUBLE AS first, round(CASE WHEN norm = 0 THEN 0 ELSE list_dot_product(v, v) / norm / norm END, 6) AS square FROM n""")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     v = X.l2_normalized(F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)))
-    return e.select("vec_id", v.alias("v")).select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(X.dot(F.col("v"), F.col("v")), 6).alias("square"))
+    return e.select("vec_id", v.alias("v")).select("vec_id", (F.round(F.col("v")[0], 6) + 0.0).alias("first"), F.round(X.dot(F.col("v"), F.col("v")), 6).alias("square"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(source || '- Making ' || lang || ' - x', '([A-Za-z0-9])-\s+([A-Za-z])', '\1-\2', 'g') AS joined,
@@ -385,19 +391,46 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("source_path").cast("long").alias("doc_id"), "pos", "char_count", "char_offset")
 
 
-@query()
+@query(f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, {STRIP % "line"} AS t, length({STRIP % "line"}) AS n FROM lines WHERE {STRIP % "line"} <> ''),
+c AS (SELECT doc_id, i, 0 AS k, 0 AS lead, n AS own, 0::BIGINT AS at_ FROM p WHERE i = 1 UNION ALL
+ SELECT p.doc_id, p.i, CASE WHEN full_ THEN k + 1 ELSE k END, CASE WHEN full_ THEN greatest(0, least(100, 1000 - n - 2, own)) ELSE lead END, CASE WHEN full_ THEN n ELSE own + 2 + n END, CASE WHEN full_ THEN at_ + own + 2 ELSE at_ END
+ FROM c JOIN p ON p.doc_id = c.doc_id AND p.i = c.i + 1, LATERAL (SELECT lead + own + 2 + n + CASE WHEN lead > 0 THEN 2 ELSE 0 END > 1000 AS full_)),
+r AS (SELECT doc_id, i, 0 AS k, '' AS lead, t AS now_, 0::BIGINT AS at_ FROM p WHERE i = 1 UNION ALL
+ SELECT p.doc_id, p.i, CASE WHEN full_ THEN k + 1 ELSE k END, CASE WHEN full_ THEN CASE WHEN length(body) > 100 THEN right(body, 100) ELSE body END ELSE lead END, CASE WHEN full_ THEN piece ELSE now_ || chr(10) || chr(10) || piece END, CASE WHEN full_ THEN at_ + length(now_) + 2 ELSE at_ END
+ FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1, LATERAL (SELECT CASE WHEN lead = '' THEN t ELSE lead || chr(10) || chr(10) || t END AS piece, {STRIP % "now_"} AS body), LATERAL (SELECT length(now_) + length(piece) + 2 > 1000 AS full_)),
+m AS (SELECT 'clean' AS mode, doc_id, k, at_, own + CASE WHEN lead > 0 THEN lead + 2 ELSE 0 END AS chars FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i DESC) = 1
+ UNION ALL (SELECT 'reference', doc_id, k, at_, length({STRIP % "now_"}) FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i DESC) = 1))
+SELECT mode, doc_id, k::BIGINT AS pos, {HASH % "doc_id || '::' || at_"} AS chunk_id, at_ AS char_offset, chars::BIGINT AS char_count FROM m""")
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packing with overlap, both ways; tests hold it against the fixtures."""
+    """Packing with overlap, both ways."""
     d = table(spark, sf_dir, "documents").select(F.lit("c").alias("corpus"), F.col("doc_id").cast("string").alias("source_path"), F.regexp_replace("text", "\n", "\n\n").alias("markdown"))
-    made = [chunk_documents(d, Chunking(max_size=1000, overlap=100, overlap_mode=m)).withColumn("mode", F.lit(m)) for m in ("clean", "reference")]
+    made = [chunk_documents(d, Chunking(max_size=1000, overlap=100, overlap_mode=m, split_on_headings=False)).withColumn("mode", F.lit(m)) for m in ("clean", "reference")]
     return made[0].unionByName(made[1]).select("mode", F.col("source_path").cast("long").alias("doc_id"), "pos", "chunk_id", "char_offset", "char_count")
 
 
-@query()
+# a table with a blank line inside, and a fence that holds a shorter fence and a blank line
+TABLE_TEXT = "| a | b |\n|---|---|\n| 1 | 2 |\n\n| 3 | 4 |"
+FENCE_TEXT = "````\n```\nx\n\n| y |\n````"
+
+
+def _literal(text: str) -> str:
+    return " || chr(10) || ".join(f"'{line}'" for line in text.split("\n"))
+
+
+@query(f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+parts AS (SELECT doc_id, 0 AS part, pos, {STRIP % "line"} AS t FROM lines WHERE {STRIP % "line"} <> ''
+ UNION ALL SELECT doc_id, 1, 0, {_literal(TABLE_TEXT)} FROM documents WHERE doc_id % 3 <> 1
+ UNION ALL SELECT doc_id, 2, 0, {_literal(FENCE_TEXT)} FROM documents WHERE doc_id % 3 <> 2
+ UNION ALL SELECT doc_id, 3, 0, 'tail of ' || doc_id FROM documents)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, pos) - 1 AS idx, sha256(t) AS paragraph_sha FROM parts""")
 def table_fence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = "\n".join(f"| r{i} | {'y' * 20} |" for i in range(100))
-    cases = {"table": f"| a | b |\n|---|---|\n{rows}", "gap": f"| a | b |\n|---|---|\n{rows[:500]}\n\n| z | z |", "prose": "| a | b |\n|---|---|\n| 1 | 2 |\n\nprose", "fence": "````\n```\nx\n\ny\n````\n\nprose"}
-    return spark.createDataFrame([(k, i, p) for k, t in cases.items() for i, p in enumerate(split_paragraphs(t))], "case string, idx int, paragraph string")
+    """Paragraphs of every document with a table, a fence or both put at its end: chunks of one paragraph each."""
+    d = F.col("doc_id")
+    body = [F.regexp_replace("text", "\n", "\n\n"), F.when(d % 3 != 1, TABLE_TEXT), F.when(d % 3 != 2, FENCE_TEXT), F.concat(F.lit("tail of "), d.cast("string"))]
+    made = table(spark, sf_dir, "documents").select(F.lit("c").alias("corpus"), d.cast("string").alias("source_path"), F.concat_ws("\n\n", *body).alias("markdown"))
+    got = chunk_documents(made, Chunking(max_size=1, overlap=0, split_on_headings=False))
+    return got.select(F.col("source_path").cast("long").alias("doc_id"), F.col("pos").alias("idx"), F.sha2("text", 256).alias("paragraph_sha"))
 
 
 def _filter_sql(condition: str) -> str:
@@ -419,11 +452,16 @@ def section_filter_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sections_for_sparse(chunks(spark, sf_dir), "turn 2")
 
 
-def hits_c3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with a made-up score, placed."""
-    c = chunks(spark, sf_dir).withColumn("score", (F.col("char_count") % 97) / 97.0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source_path", "pos")
-    return c.withColumn("query_id", F.lit("q")).withColumn("place", F.row_number().over(w))
+def scored_c3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with a made-up score."""
+    return chunks(spark, sf_dir).withColumn("score", (F.col("char_count") % 97) / 97.0).withColumn("query_id", F.lit("q"))
+
+
+def hits_c3(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """Those chunks placed; only the first ``most`` of them, if it is given."""
+    c = scored_c3(spark, sf_dir)
+    c = c.orderBy(F.desc("score"), "source_path", "pos").limit(most) if most else c
+    return c.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source_path", "pos")))
 
 
 HITS = f"{C3}, hits AS (SELECT *, (length(text) % 97) / 97.0::DOUBLE AS score, row_number() OVER (ORDER BY (length(text) % 97) / 97.0::DOUBLE DESC, source_path, pos) AS place FROM chunks)"
@@ -433,7 +471,7 @@ HITS = f"{C3}, hits AS (SELECT *, (length(text) % 97) / 97.0::DOUBLE AS score, r
 SELECT corpus, section_id, place, round(score, 6) AS score, n AS chunk_count, sha256(text) AS text_sha FROM f JOIN
 (SELECT corpus, section_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY char_offset, pos) AS text FROM chunks GROUP BY ALL) USING (corpus, section_id)""")
 def section_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = S.aggregate_sections(hits_c3(spark, sf_dir).where(F.col("place") <= K), chunks(spark, sf_dir))
+    got = S.aggregate_sections(hits_c3(spark, sf_dir, K), chunks(spark, sf_dir))
     return got.select("corpus", "section_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"), "chunk_count", F.sha2("text", 256).alias("text_sha"))
 
 
@@ -447,7 +485,7 @@ def section_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH {HITS} SELECT chunk_id, source_path, round(score + 0.3 * CASE WHEN len(path) = 0 THEN 0 ELSE
  len(list_intersect(['turn', '(user)', 'zzz'], list_distinct(flatten(list_transform(path, lambda x: regexp_split_to_array(lower(x), '\s+')))))) / 3.0::DOUBLE END, 6) AS score FROM hits""")
 def toc_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = R.rerank_by_headings(hits_c3(spark, sf_dir), F.lit("Turn (User) zzz turn"), 0.3)
+    got = R.rerank_by_headings(scored_c3(spark, sf_dir), F.lit("Turn (User) zzz turn"), 0.3)
     return got.select("chunk_id", "source_path", F.round("score", 6).alias("score"))
 
 
@@ -459,9 +497,10 @@ def toc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.toc(chunks(spark, sf_dir)).select("corpus", "source_path", "title", "structured", "chunk_count", kids.alias("children"))
 
 
-@query(f"""WITH {C3} SELECT corpus, source_path, min_by(path[1], pos) AS title, count(DISTINCT path[2])::BIGINT AS n_headings FROM chunks GROUP BY ALL""")
+@query(f"""WITH {C3}, k AS (SELECT corpus, source_path, path[2] AS h, min(pos) AS p FROM chunks WHERE len(path) > 1 GROUP BY ALL)
+SELECT corpus, source_path, min_by(path[1], pos) AS title, bool_or(len(path) > 0) AS structured, coalesce((SELECT string_agg(h, '; ' ORDER BY p) FROM k WHERE k.corpus = c.corpus AND k.source_path = c.source_path), '') AS headings FROM chunks c GROUP BY ALL""")
 def toc_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.toc_listing(S.toc(chunks(spark, sf_dir))).select("corpus", "source_path", "title", F.size("headings").cast("long").alias("n_headings"))
+    return S.toc_listing(S.toc(chunks(spark, sf_dir))).select("corpus", "source_path", "title", "structured", F.array_join("headings", "; ").alias("headings"))
 
 
 @query(f"WITH {C3} SELECT corpus, section_id, string_agg(chunk_id, ',' ORDER BY pos) AS chunk_ids FROM chunks GROUP BY ALL")
@@ -472,16 +511,86 @@ def section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {HITS}, g AS (SELECT source_path, max(score) AS score, count(*) AS matched_chunks, min(place) AS fp FROM hits WHERE place <= 60 GROUP BY source_path)
 SELECT g.source_path, corpus, round(score, 6) AS score, matched_chunks, length(markdown) AS char_count, row_number() OVER (ORDER BY score DESC, fp) AS place FROM g JOIN conv USING (source_path)""")
 def collapse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = S.collapse_to_documents(hits_c3(spark, sf_dir).where("place <= 60"), conversations(spark, sf_dir))
+    got = S.collapse_to_documents(hits_c3(spark, sf_dir, 60), conversations(spark, sf_dir))
     return got.select("source_path", "corpus", F.round("score", 6).alias("score"), "matched_chunks", "char_count", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {HITS} SELECT sum(length(text))::BIGINT AS chars, CASE WHEN sum(length(text)) < 8000 THEN 'chunks' ELSE 'documents' END AS mode FROM hits WHERE place <= {K}")
 def auto_mode_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = S.estimated_size(hits_c3(spark, sf_dir).where(F.col("place") <= K))
+    size = S.estimated_size(hits_c3(spark, sf_dir, K))
     return size.select("chars", F.when(F.col("chars") < 8000, "chunks").otherwise("documents").alias("mode"))
 
 
+# -- the engine itself ---------------------------------------------------------------------------
+
+
+class TableEngine(Engine):
+    """An engine over C1 as files of a table: every seventh has vanished since it was indexed."""
+
+    def live(self, names: list[str]) -> DataFrame:
+        return self.files.where("doc_id % 7 <> 3").select("corpus", "source_path").where(F.col("corpus").isin(*names))
+
+
+_ENGINES: dict[tuple[str, str], TableEngine] = {}
+
+
+def table_engine(spark: SparkSession, sf_dir: str) -> TableEngine:
+    """The engine of a folder's tables, indexed on first use: a chunk a document, some without a word.
+
+    The index stands in the shared folder of ``spark.checkpoint.dir``, or in local mode in a temporary one.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _ENGINES:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base and not spark.sparkContext.master.startswith(("local[", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="docweave-")
+        config = Config(
+            corpora=[Corpus(n, f"/{n}", weight=w, max_distance=m, extensions=[".md"]) for n, w, m, _ in WEIGHTS],
+            chunking=Chunking(max_size=10**9, overlap=0, split_on_headings=False),
+            indexing=Indexing(data_dir=f"{base.rstrip('/')}/docweave-{uuid.uuid4().hex}/index"),
+        )
+        engine = TableEngine(spark, config)
+        text = F.when(F.col("doc_id") % 13 == 5, "a !").otherwise(F.col("text"))
+        rows = docs(spark, sf_dir).withColumn("content", F.encode(text, "UTF-8"))
+        engine.files = rows.select("doc_id", "corpus", "source_path")
+        files = rows.select("corpus", "source_path", X.filename(F.col("source_path")).alias("filename"), F.octet_length("content").cast("long").alias("file_size"), F.timestamp_seconds(F.lit(0)).alias("modified_at"), "content", F.sha2("content", 256).alias("file_hash"))
+        engine.upsert(files, [n for n, *_ in WEIGHTS])
+        _ENGINES[at] = engine
+    return _ENGINES[at]
+
+
+HASHED = """SELECT id, b, (x / sqrt(sum(x * x) OVER (PARTITION BY id))) AS c FROM (SELECT id, ('0x' || left(sha256(w), 8))::UBIGINT %% 384 AS b,
+ sum(CASE WHEN ('0x' || substr(sha256(w), 9, 1))::UBIGINT < 8 THEN 1.0::DOUBLE ELSE -1.0 END) AS x FROM (SELECT id, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]{2,}')) AS w FROM (%s)) GROUP BY id, b) WHERE x <> 0"""
+
+
+@query(rf"""WITH {C1.replace("doc_id, text,", "doc_id, CASE WHEN doc_id % 13 = 5 THEN 'a !' ELSE text END AS text,").replace("FROM documents)", f"FROM documents WHERE doc_id % 13 = 5 OR {STRIP % 'text'} <> '')", 1)},
+vec AS ({HASHED % f"SELECT doc_id AS id, left({STRIP % 'text'}, 500) AS t FROM docs"}), asked AS ({HASHED % "SELECT item_id AS id, text AS t FROM benchmark WHERE item_id = 0"}),
+live AS (SELECT * FROM docs WHERE doc_id % 7 <> 3),
+dense AS (SELECT corpus, source_path, doc_id, round(coalesce(s, 0), 9) AS raw FROM live LEFT JOIN (SELECT v.id, sum(v.c::FLOAT::DOUBLE * a.c) AS s FROM vec v JOIN asked a USING (b) GROUP BY v.id) d ON d.id = doc_id),
+floors AS (SELECT corpus, coalesce(max_distance, 0.93)::DOUBLE AS floor FROM corpora),
+all_ AS (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY raw DESC, source_path) <= {2 * K}),
+dl_ AS (SELECT a.corpus, doc_id, source_path, raw, row_number() OVER (PARTITION BY a.corpus ORDER BY raw DESC, source_path) - 1 AS rank FROM all_ a JOIN floors f ON f.corpus = a.corpus WHERE raw >= round(1 - floor, 9)),
+{SPARSE.replace("sparse AS (", "found AS (")},
+sl_ AS (SELECT corpus, doc_id, source_path, raw, row_number() OVER (PARTITION BY corpus ORDER BY raw DESC, source_path) - 1 AS rank FROM found JOIN live USING (corpus, doc_id) QUALIFY rank < {2 * K}),
+{fused(0.3)}, top_ AS (SELECT f.*, source_path FROM fused f JOIN live USING (corpus, doc_id) QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY score DESC, source_path) <= {2 * K})
+SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, corpus_ord, source_path) AS place, corpus, doc_id || '.md' AS filename, round(score, 6) AS score, round(dense_score, 6) AS raw_score, round(1 - dense_score, 6) AS distance FROM top_ JOIN corpora USING (corpus)) WHERE place <= {K}""")
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search by the engine over its stored index: 384 dimensions, stored word statistics, vanished files."""
+    asked = query_text(spark, sf_dir).first().query
+    out = table_engine(spark, sf_dir).search(asked, top_k=K, hybrid=True, max_distance=0.93)
+    rows = [(i + 1, r["corpus"], r["filename"], r["score"], r["raw_score"], r["distance"]) for i, r in enumerate(out["results"])]
+    got = spark.createDataFrame(rows, "place bigint, corpus string, filename string, score double, raw_score double, distance double")
+    return got.select("place", "corpus", "filename", *(F.round(c, 6).alias(c) for c in ("score", "raw_score", "distance")))
+
+
+@query(f"""WITH {C1.replace("doc_id, text,", "doc_id, CASE WHEN doc_id % 13 = 5 THEN 'a !' ELSE text END AS text,")}
+SELECT corpus, source_path, CASE WHEN doc_id % 7 = 3 THEN 0 ELSE octet_length(encode(text)) END AS file_size, CASE WHEN {STRIP % 'text'} = '' THEN 0 ELSE 1 END AS chunk_count FROM docs""")
+def engine_list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table_engine(spark, sf_dir).list_documents()["documents"]
+    return spark.createDataFrame([(r["corpus"], r["source_path"], r["file_size"], r["chunk_count"]) for r in rows], "corpus string, source_path string, file_size bigint, chunk_count bigint")
+
+
 # -- ingest ------------------------------------------------------------------------------------
 
 
@@ -603,7 +712,7 @@ def html_to_markdown_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.select("page_id", F.length("markdown").cast("long").alias("n_chars"), F.sha2("markdown", 256).alias("markdown_sha"))
 
 
-C5 = r"""li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem WHERE l_orderkey % 4 = 0),
+C5 = r"""li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
 sp AS (SELECT l_orderkey AS doc, floor(n / 3)::INT AS block, n::INT AS line, l_partkey AS part,
  CASE WHEN n = 1 THEN 24.0 WHEN n = 2 AND l_partkey % 3 = 0 THEN 18.0 WHEN n = 2 AND l_partkey % 3 = 1 THEN 24.0 WHEN n = 4 THEN 15.0 ELSE 10.0 END::DOUBLE AS size FROM li),
 spans AS (SELECT doc::VARCHAR AS doc, block, line, size, CASE WHEN line = 1 AND part % 2 = 0 THEN '5.2' ELSE 'Part- ' || part || ' of ' || repeat('x', CASE WHEN size = 10.0 THEN 90 ELSE 3 END) END AS text FROM sp),
@@ -628,33 +737,47 @@ def pdf_heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stitched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = spans(spark, sf_dir)
+    s = L.by_document(spans(spark, sf_dir))
     levels = L.heading_levels(L.size_histogram(s))
     return L.stitched(L.text_lines(s), levels), levels
 
 
-@query(rf"""WITH RECURSIVE {C5}, l AS (SELECT s.*, v.level, row_number() OVER (PARTITION BY s.doc, block ORDER BY line) AS i, regexp_matches(text, '^[0-9]+(\.[0-9]+)*$') AS label FROM spans s LEFT JOIN levels v ON v.doc = s.doc AND v.size = s.size AND v.level <= 6),
+STITCH = rf"""{C5}, l AS (SELECT s.*, v.level, row_number() OVER (PARTITION BY s.doc, block ORDER BY line) AS i, regexp_matches(text, '^[0-9]+(\.[0-9]+)*$') AS label FROM spans s LEFT JOIN levels v ON v.doc = s.doc AND v.size = s.size AND v.level <= 6),
 w AS (SELECT doc, block, i, line, level, size, size AS now, level IS NOT NULL AND label AS open, line AS head, text FROM l WHERE i = 1
  UNION ALL SELECT l.doc, l.block, l.i, l.line, CASE WHEN j THEN w.level ELSE l.level END, CASE WHEN j THEN w.size ELSE l.size END, l.size,
   CASE WHEN j AND l.size = w.now THEN w.open WHEN j THEN false ELSE l.level IS NOT NULL AND l.label END, CASE WHEN j THEN w.head ELSE l.line END, CASE WHEN j THEN w.text || ' ' || l.text ELSE l.text END
- FROM w JOIN l ON l.doc = w.doc AND l.block = w.block AND l.i = w.i + 1, LATERAL (SELECT l.level IS NOT NULL AND w.level IS NOT NULL AND (l.size = w.now OR w.open) AS j))
-SELECT doc, block, head AS line, level, size, regexp_replace(text, '([A-Za-z])-\s+([A-Za-z])', '\1-\2', 'g') AS text FROM w QUALIFY row_number() OVER (PARTITION BY doc, block, head ORDER BY i DESC) = 1""")
+ FROM w JOIN l ON l.doc = w.doc AND l.block = w.block AND l.i = w.i + 1, LATERAL (SELECT l.level IS NOT NULL AND w.level IS NOT NULL AND (l.size = w.now OR w.open) AS j)),
+st AS (SELECT doc, block, head AS line, level, size, regexp_replace(text, '([A-Za-z])-\s+([A-Za-z])', '\1-\2', 'g') AS text FROM w QUALIFY row_number() OVER (PARTITION BY doc, block, head ORDER BY i DESC) = 1)"""
+
+
+@query(f"WITH RECURSIVE {STITCH} SELECT doc, block, line, level, size, text FROM st")
 def pdf_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stitched(spark, sf_dir)[0].select("doc", "block", "line", F.col("level").cast("long").alias("level"), "size", "text")
 
 
-@query()
+TREE = """n AS (SELECT *, lead(level) OVER (PARTITION BY doc ORDER BY block, line) AS nx FROM h WHERE level IS NOT NULL),
+t AS (SELECT doc, count(*) AS n, count(DISTINCT level) AS kinds, count(*) FILTER (level = 2) AS h2, count(*) FILTER (level = 2 AND nx >= 3) AS kept, count(*) FILTER (level = 6) AS deep, min_by(level, (block, line)) AS first_level FROM n GROUP BY doc),
+g AS (SELECT doc, min(gap) AS min_gap FROM (SELECT doc, round(lag(size) OVER (PARTITION BY doc ORDER BY size DESC) - size, 1) AS gap FROM levels WHERE level <= 6) GROUP BY doc),
+c AS (SELECT doc, CASE WHEN h2 = 0 THEN 1.0::DOUBLE WHEN kinds >= 3 THEN 1 - kept / h2::DOUBLE ELSE 0 END AS collapse, deep / n::DOUBLE AS saturation, min_gap, first_level FROM t JOIN g USING (doc)),
+tree AS (SELECT *, NOT (collapse > 0.5 OR saturation > 0.6 OR coalesce(min_gap <= 1.0, false) OR first_level > 3) AS valid FROM c)"""
+
+
+@query(rf"""WITH RECURSIVE {STITCH}, b AS (SELECT *, level IS NOT NULL AND regexp_matches(text, '^[0-9]+(\.[0-9]+)*$') AS lab, lead(level) OVER o AS nl, lead(text) OVER o AS nt FROM st WINDOW o AS (PARTITION BY doc ORDER BY block, line)),
+k AS (SELECT *, coalesce(lab AND nl >= level AND NOT regexp_matches(nt, '^[0-9]+(\.[0-9]+)*$'), false) AS takes FROM b),
+u AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc ORDER BY block, line), false) AS taken FROM k),
+v AS (SELECT doc, block, line, level, size, CASE WHEN takes THEN text || ' ' || nt ELSE text END AS text FROM u WHERE NOT taken),
+x AS (SELECT *, coalesce(level = lag(level) OVER o AND text = lag(text) OVER o, false) AS same FROM v WINDOW o AS (PARTITION BY doc ORDER BY block, line)),
+h AS (SELECT * FROM x WHERE NOT same), {TREE},
+md AS (SELECT doc, string_agg(CASE WHEN level IS NULL THEN text ELSE repeat('#', level::INT) || ' ' || text || chr(10) END, chr(10) ORDER BY block, line) || chr(10) AS markdown FROM h GROUP BY doc)
+SELECT md.doc, CASE WHEN valid THEN sha256(markdown) END AS markdown_sha, coalesce(valid, false) AS valid FROM md LEFT JOIN tree USING (doc)""")
 def pdf_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_markdown(spans(spark, sf_dir)).select("doc", F.sha2("markdown", 256).alias("markdown_sha"), "valid")
 
 
-@query(f"""WITH {C5}, h AS (SELECT s.doc, s.line, level FROM spans s JOIN levels v ON v.doc = s.doc AND v.size = s.size AND level <= 6), n AS (SELECT *, lead(level) OVER (PARTITION BY doc ORDER BY line) AS nx FROM h),
-t AS (SELECT doc, count(*) AS n, count(DISTINCT level) AS kinds, count(*) FILTER (level = 2) AS h2, count(*) FILTER (level = 2 AND nx >= 3) AS kept, count(*) FILTER (level = 6) AS deep, min_by(level, line) AS first_level FROM n GROUP BY doc),
-g AS (SELECT doc, min(gap) AS min_gap FROM (SELECT doc, round(lag(size) OVER (PARTITION BY doc ORDER BY size DESC) - size, 1) AS gap FROM levels WHERE level <= 6) GROUP BY doc),
-c AS (SELECT doc, CASE WHEN h2 = 0 THEN 1.0::DOUBLE WHEN kinds >= 3 THEN 1 - kept / h2::DOUBLE ELSE 0 END AS collapse, deep / n::DOUBLE AS saturation, min_gap, first_level FROM t JOIN g USING (doc))
-SELECT doc, round(collapse, 6) AS collapse, round(saturation, 6) AS saturation, min_gap, first_level, NOT (collapse > 0.5 OR saturation > 0.6 OR coalesce(min_gap <= 1.0, false) OR first_level > 3) AS valid FROM c""")
+@query(f"""WITH {C5}, h AS (SELECT s.doc, s.block, s.line, level FROM spans s JOIN levels v ON v.doc = s.doc AND v.size = s.size AND level <= 6), {TREE}
+SELECT doc, round(collapse, 6) AS collapse, round(saturation, 6) AS saturation, min_gap, first_level, valid FROM tree""")
 def heading_tree_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spans(spark, sf_dir)
+    s = L.by_document(spans(spark, sf_dir))
     levels = L.heading_levels(L.size_histogram(s))
     heads = L.text_lines(s).join(levels, ["doc", "size"])
     got = L.validate_headings(heads, levels)
@@ -674,7 +797,7 @@ def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = e.where("vec_id < 40").select("vec_id", "embedding", "label").collect()
     golden = spark.createDataFrame([(str(r.vec_id), [] if r.vec_id % 8 == 7 else [f" l{r.label}/ "]) for r in asked], "query_id string, expect array<string>")
     v = e.select(F.lit("c").alias("corpus"), F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("ord"), "label", "embedding")
-    hits = R.dense_scores(v, [(str(r.vec_id), [float(x) for x in r.embedding]) for r in asked]).where("query_id <> cast(chunk_id as string)")
+    hits = R.dense_scores(v, [(str(r.vec_id), [float(x) for x in r.embedding]) for r in asked], 6).where("query_id <> cast(chunk_id as string)")
     path = F.concat(F.lit("L"), F.col("label").cast("string"), F.lit("/x.md"))
     top = R.top_per_corpus(hits, 5).select("query_id", (F.col("rank") + 1).alias("place"), E.match_keys(path, path, path).alias("keys"))
     return E.metrics(E.first_hit_ranks(golden, top))
@@ -686,7 +809,7 @@ c AS (SELECT corpus, min(score) FILTER (qid % 2 = 0) AS on_min, max(score) FILTE
 SELECT corpus, round(on_min, 6) AS on_min, round(off_max, 6) AS off_max, round(on_min - off_max, 4) AS separation, CASE WHEN on_min - off_max > 0 THEN round(1 - (on_min + off_max) / 2, 4) END AS suggested FROM c""")
 def floor_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "embeddings").where("vec_id < 20").collect()
-    hits = R.dense_scores(vectors(spark, sf_dir), [(str(r.vec_id), [float(x) for x in r.embedding]) for r in asked]).where("query_id <> cast(chunk_id as string)")
+    hits = R.dense_scores(vectors(spark, sf_dir), [(str(r.vec_id), [float(x) for x in r.embedding]) for r in asked], 2).where("query_id <> cast(chunk_id as string)")
     top = R.top_per_corpus(hits, 1).select("corpus", (F.col("query_id").cast("int") % 2 == 0).alias("on_topic"), F.col("raw_score").alias("score"))
     return E.calibrate(top).withColumn("on_min", F.round("on_min", 6)).withColumn("off_max", F.round("off_max", 6))
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, where their SQL covers a share of the rows: whole against brute force, the share against the SQL."""
+"""Queries over whole tables against brute force."""
 
 import hashlib
 import math
@@ -8,10 +8,9 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_queries import rows
 
 from docweave.functions import text as X
-from docweave.queries import QUERIES, SQL
+from docweave.queries import QUERIES
 
 SF = os.environ.get("DOCWEAVE_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -25,25 +24,6 @@ def db():
     return con
 
 
-def same(got, want):
-    assert sorted(got.columns) == sorted(want.columns)
-    for c in got.columns:
-        if got[c].dtype.kind == "f" or want[c].dtype.kind == "f":
-            got[c], want[c] = got[c].astype(float).round(6), want[c].astype(float).round(6)
-    assert rows(got) == rows(want)
-
-
-QUARTER = " WHERE l_orderkey % 4 = 0"
-
-
-@pytest.mark.parametrize("name", ["pdf_size_histogram", "pdf_body_size", "pdf_heading_levels", "pdf_stitch", "heading_tree_validate"])
-def test_layout_of_every_order(spark, db, name):
-    got = QUERIES[name](spark, SF).toPandas()
-    assert SQL[name].count(QUARTER) == 1
-    same(got[got.doc.astype(int) % 4 == 0].copy(), db.execute(SQL[name]).df())
-    same(got, db.execute(SQL[name].replace(QUARTER, "")).df())
-
-
 def test_markdown_of_every_order(spark, db):
     got = QUERIES["pdf_markdown"](spark, SF).toPandas()
     assert sorted(got.doc.astype(int)) == [r[0] for r in db.execute("SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1").fetchall()]
@@ -51,11 +31,7 @@ def test_markdown_of_every_order(spark, db):
 
 
 def test_postings_of_every_term(spark, db):
-    name, long_only = "bm25_postings", " WHERE length(term) > 10"
-    got = QUERIES[name](spark, SF).toPandas()
-    assert SQL[name].endswith(long_only)
-    same(got[got.term.str.len() > 10].copy(), db.execute(SQL[name]).df())
-    same(got, db.execute(SQL[name].removesuffix(long_only)).df())
+    got = QUERIES["bm25_postings"](spark, SF).toPandas()
     brute = Counter()
     for doc, t in db.execute("SELECT doc_id, text FROM documents").fetchall():
         brute.update((doc, w) for w in re.findall(r"\w{2,}", t.lower()) if w not in X.STOP_WORDS)
