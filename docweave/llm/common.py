@@ -39,21 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_PER_FILE = 250_000
 
 
-def materialize(df: DataFrame, tag: str, *, rows: int | None = None, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, tag: str, *, rows: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and gives the planner the true
     size of the table, so that a later join broadcasts it only below
     ``spark.sql.autoBroadcastJoinThreshold``. ``rows`` bounds the rows that the writing stage works
     on: a small table is then written as one file for each ``ROWS_PER_FILE`` of them, not as one for
-    each shuffle partition, since tiny files cost more than what is in them.
+    each shuffle partition, since tiny files cost more than what is in them. ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docweave-{uuid.uuid4().hex}/{tag}"
     files = None if rows is None else rows // ROWS_PER_FILE + 1
     if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.coalesce(files)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path)
     _SCRATCH.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -16,6 +16,10 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequenc
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("piece_ids", pa.binary())])
 
 
+#: Ids compress, but no two pieces are equal: a light codec and no dictionary.
+PIECES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"}
+
+
 @dataclass
 class SumOfSquares:
     """Online packer of items of 1 to ``capacity`` units into windows of ``capacity`` units.
@@ -81,7 +85,7 @@ def close(capacity: int, windows: list[list[tuple]]) -> tuple[list[list[tuple]],
     return full, left
 
 
-def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None, lane_rests: int = 16_384) -> DataFrame:
+def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None, lane_rests: int = 16_384, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """One row per piece: where the ids ``start`` .. ``start + length`` of a document lie.
 
     A document's ids are those of its whole text and then id 0 (so an empty or null text has one
@@ -94,7 +98,7 @@ def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None,
 
     Rows are packed as they are: repeated rows, ties and null ids get pieces each; a text of any
     length is encoded whole; other columns are ignored; an empty table gives no row.
-    ``sequence_id`` is the number of the task or lane that filled the window times 2**32 plus a
+    ``remembered`` bounds the words that a worker keeps the ids of (memory against time). ``sequence_id`` is the number of the task or lane that filled the window times 2**32 plus a
     running number, lanes from 2**62 on, so a repeated task gives the same ids.
     """
     vocabulary = vocabulary or tokens.default_vocabulary()
@@ -111,17 +115,20 @@ def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None,
             out.extend(_laid(held.pop(where), first + where))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).many
+        encode = tokens.encoder(vocabulary, remembered).many
         packer, held, out = SumOfSquares(window), {}, []
         first = _task() << 32
         for ids, texts in common.rows(batches, "doc_id", "text"):
             for doc_id, raw in zip(ids, encode([t or "" for t in texts]), strict=True):
                 raw += tokens.END
                 n = len(raw) // 4
-                for at in range(0, n, window):
-                    place(packer, held, (doc_id, at, min(window, n - at), n, None, None, raw[4 * at : 4 * (at + window)]), first, out)
-                    if len(out) >= 512:
-                        yield flush(out)
+                full = n - n % window
+                for at in range(0, full, window):
+                    out.append((doc_id, at, window, n, first + packer.place(window)[0], 0, raw[4 * at : 4 * (at + window)]))
+                if full < n:
+                    place(packer, held, (doc_id, full, n - full, n, None, None, raw[4 * full :]), first, out)
+                if len(out) >= 512:
+                    yield flush(out)
         out.extend(p for pieces in held.values() for p in pieces)
         if out:
             yield flush(out)
@@ -141,7 +148,7 @@ def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None,
         if out:
             yield flush(out)
 
-    placed = common.materialize(common.arrow_map(docs.select("doc_id", "text"), run, SCHEMA), "pieces", compression="zstd")
+    placed = common.materialize(common.arrow_map(docs.select("doc_id", "text"), run, SCHEMA), "pieces", **PIECES)
     rests = placed.where("sequence_id is null")
     lanes = rests.count() // lane_rests + 1
     return placed.where("sequence_id is not null").unionByName(common.arrow_map(rests.repartition(lanes), lane, SCHEMA))

@@ -11,19 +11,24 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 END = b"\0\0\0\0"
 #: White space other than lone spaces and lone line breaks between non-space characters.
 _ODD = re.compile(r"[^\S \n]")
-_PAIRS = ("  ", " \n", "\n ", "\n\n")
 LONGEST = 200
+REMEMBERED = 400_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, then punctuation: two pieces, whatever stands before.
 _TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
 
+def _is_odd(word: str) -> bool:
+    return not word or _ODD.search(word) is not None
+
+
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes. One per worker process.
 
@@ -32,7 +37,7 @@ class WordEncoder:
     moves back, so memory is bounded (by about 250 bytes a word).
     """
 
-    def __init__(self, path: str, capacity: int = 250_000):
+    def __init__(self, path: str, capacity: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,14 +107,16 @@ class WordEncoder:
         firsts: set[str] = set()
         rest: set[str] = set()
         for t in texts:
-            if _ODD.search(t) or any(p in t for p in _PAIRS) or t[:1] in " \n" or t[-1:] in " \n":
-                cut.append([])
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
+            lines = [line.split(" ") for line in t.split("\n")] if t else []
             for line in lines:
                 firsts.add(line[0])
                 rest.update(line)
             cut.append(lines)
+        # white space that isn't lone leaves an empty word, other white space stands in a word
+        if "" in rest or _ODD.search("\n".join(rest)):
+            cut = [[] if any(map(_is_odd, chain.from_iterable(lines))) else lines for lines in cut]
+            firsts = {line[0] for lines in cut for line in lines}
+            rest = set(chain.from_iterable(chain.from_iterable(cut)))
         # the first words of lines are learned after a space too: simpler, and most recur there
         self._learn(rest, 1)
         self._learn(firsts, 0)
@@ -131,10 +138,11 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker process's encoder of this vocabulary file."""
+def encoder(path: str, capacity: int = REMEMBERED) -> WordEncoder:
+    """The worker process's encoder of this vocabulary file, bounded as asked last."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].capacity = capacity
     return _ENCODERS[path]
 
 
