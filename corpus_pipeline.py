@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of windows of 1024 ids: of every row, repeated ones too; a null or empty text has one id.
     An empty table gives no piece; other columns than doc_id and text are ignored."""
-    pieces = packing.pack(docs, window=1024)
+    pieces = packing.pack(docs, window=1024, remembered=150_000)  # executors still hold what earlier stages left
     return pieces.select("doc_id", "start", "length", F.crc32("piece_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
