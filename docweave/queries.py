@@ -187,9 +187,9 @@ def floored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.apply_floor(hits, R.effective_floor(corpora(spark), CALL_FLOOR, DEFAULT_FLOOR))
 
 
-@query(f"WITH {C1}, {DENSE}, {FLOORS}, {ranked('r', 'dense')} SELECT corpus, doc_id, round(raw, 6) AS raw_score, round(1 - raw, 6) AS distance FROM r JOIN floors USING (corpus) WHERE raw >= round(1 - floor, 9)")
+@query(f"WITH {C1}, {DENSE}, {FLOORS}, {ranked('r', 'dense')} SELECT corpus, doc_id, round(raw, 6) AS raw_score, round(1 - raw, 6) + 0.0::DOUBLE AS distance FROM r JOIN floors USING (corpus) WHERE raw >= round(1 - floor, 9)")
 def dense_distance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return floored(spark, sf_dir).where("kept").select("corpus", F.col("chunk_id").alias("doc_id"), F.round("raw_score", 6).alias("raw_score"), F.round(1 - F.col("raw_score"), 6).alias("distance"))
+    return floored(spark, sf_dir).where("kept").select("corpus", F.col("chunk_id").alias("doc_id"), F.round("raw_score", 6).alias("raw_score"), (F.round(1 - F.col("raw_score"), 6) + 0.0).alias("distance"))
 
 
 @query(f"WITH {C1}, {DENSE}, {FLOORS}, {ranked('r', 'dense')} SELECT corpus, count(*) FILTER (raw < round(1 - floor, 9)) AS dropped, count(*) AS seen FROM r JOIN floors USING (corpus) GROUP BY corpus")
@@ -268,11 +268,11 @@ def rrf_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {C1}, {DENSE}, {SPARSE}, {FLOORS}, {ranked('all_', 'dense')},
 near AS (SELECT a.corpus, doc_id, raw FROM all_ a JOIN floors USING (corpus) WHERE raw >= round(1 - floor, 9)), {ranked('dl_', 'near')}, {ranked('sl_', 'sparse')}, {fused(0.3)}
-SELECT corpus, doc_id, round(score, 6) AS score, round(1 - dense_score, 6) AS distance FROM fused""")
+SELECT corpus, doc_id, round(score, 6) AS score, round(1 - dense_score, 6) + 0.0::DOUBLE AS distance FROM fused""")
 def hybrid_with_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = R.top_per_corpus(floored(spark, sf_dir).where("kept").drop("kept", "rank"), 2 * K)
     hits = R.fuse(near, R.top_per_corpus(sparse(spark, sf_dir), 2 * K))
-    return hits.select("corpus", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.round(1 - F.col("dense_score"), 6).alias("distance"))
+    return hits.select("corpus", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), (F.round(1 - F.col("dense_score"), 6) + 0.0).alias("distance"))
 
 
 # -- scalar functions --------------------------------------------------------------------------
@@ -574,14 +574,14 @@ dl_ AS (SELECT a.corpus, doc_id, source_path, raw, row_number() OVER (PARTITION
 {SPARSE.replace("sparse AS (", "found AS (")},
 sl_ AS (SELECT corpus, doc_id, source_path, raw, row_number() OVER (PARTITION BY corpus ORDER BY raw DESC, source_path) - 1 AS rank FROM found JOIN live USING (corpus, doc_id) QUALIFY rank < {2 * K}),
 {fused(0.3)}, top_ AS (SELECT f.*, source_path FROM fused f JOIN live USING (corpus, doc_id) QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY score DESC, source_path) <= {2 * K})
-SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, corpus_ord, source_path) AS place, corpus, doc_id || '.md' AS filename, round(score, 6) AS score, round(dense_score, 6) AS raw_score, round(1 - dense_score, 6) AS distance FROM top_ JOIN corpora USING (corpus)) WHERE place <= {K}""")
+SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, corpus_ord, source_path) AS place, corpus, doc_id || '.md' AS filename, round(score, 6) AS score, round(dense_score, 6) AS raw_score, round(1 - dense_score, 6) + 0.0::DOUBLE AS distance FROM top_ JOIN corpora USING (corpus)) WHERE place <= {K}""")
 def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search by the engine over its stored index: 384 dimensions, stored word statistics, vanished files."""
     asked = query_text(spark, sf_dir).first().query
     out = table_engine(spark, sf_dir).search(asked, top_k=K, hybrid=True, max_distance=0.93)
     rows = [(i + 1, r["corpus"], r["filename"], r["score"], r["raw_score"], r["distance"]) for i, r in enumerate(out["results"])]
     got = spark.createDataFrame(rows, "place bigint, corpus string, filename string, score double, raw_score double, distance double")
-    return got.select("place", "corpus", "filename", *(F.round(c, 6).alias(c) for c in ("score", "raw_score", "distance")))
+    return got.select("place", "corpus", "filename", *((F.round(c, 6) + 0.0).alias(c) for c in ("score", "raw_score", "distance")))
 
 
 @query(f"""WITH {C1.replace("doc_id, text,", "doc_id, CASE WHEN doc_id % 13 = 5 THEN 'a !' ELSE text END AS text,")}

@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application, for clusters and folders where it isn't installed."""
+    name = spark.sparkContext.applicationId
+    if name in _SHIPPED:
+        return
+    _SHIPPED.add(name)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="docweave-"), "docweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("docweave", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(path)
+
+
 def session(master: str | None = None, *, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with AQE on; ``master`` and sizes only where given, so a cluster's own settings stand."""
     b = SparkSession.builder.appName("docweave")
@@ -19,4 +43,6 @@ def session(master: str | None = None, *, shuffle_partitions: int | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
-    return b.config(map=base | conf).getOrCreate()
+    spark = b.config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark
