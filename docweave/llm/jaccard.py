@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +114,8 @@ class Plan:
     heavy: np.ndarray  # sorted hashes of frequent shingles
     rank: np.ndarray  # their places in the order, after all others
     clashes: frozenset[int] = frozenset()
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted shingles of very long lists
+    parts: int = 1  # in which those lists are scanned
 
     @property
     def smallest(self) -> int:
@@ -135,29 +137,33 @@ class Plan:
         late, rank = found[frequent], self.rank[at[frequent]]
         return np.concatenate((found[~frequent], late[np.argsort(rank)]))
 
-    def keys(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, reach) under which a set is indexed.
+    def keys(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, reach, hot) under which a set is indexed.
 
         Two sets that link have an intersection of at least ``least``. Large sets: their first
         common shingle is among the first n - least + 1 of each, so those are keys (the inverted
         lists). Small sets: their first SUBSET common ones are among the first n - least + SUBSET,
         so all subsets of that size are keys; where fewer than SUBSET common ones may do, they are
         in the lists as well. ``reach`` bounds the intersection of a pair whose first common
-        shingles are those of the key: what is left from there on.
+        shingles are those of the key: what is left from there on. A key is hot if all its shingles are.
         """
         n, order = len(found), self.ordered(found)
         least = self.least(n)
-        keys, reach = [], []
+        keys, reach, hot = [], [], []
+        at = np.minimum(np.searchsorted(self.hot, order), max(len(self.hot) - 1, 0))
+        much = self.hot[at] == order if len(self.hot) else np.zeros(n, bool)
         if n < self.boundary:
             first = order[: n - least + SUBSET]
             i, j = np.triu_indices(len(first), 1)
             keys.append(common.mix64(first[i] * _PLACES[11] + first[j] * _PLACES[12]))
             reach.append(n - j + 1)
+            hot.append(much[i] & much[j])
         if least < SUBSET or 100 * n >= self.percent * self.boundary or n >= self.boundary:
             m = n - least + 1
             keys.append(order[:m])
             reach.append(n - np.arange(m))
-        return np.concatenate(keys), np.concatenate(reach)
+            hot.append(much[:m])
+        return np.concatenate(keys), np.concatenate(reach), np.concatenate(hot)
 
 
 def required(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -222,24 +228,28 @@ def _boundary(sizes: dict[int, int], mean_list: float, percent: int) -> int:
 
 
 def _postings(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, packed): each task's index entries, dealt into buckets by key."""
+    """(bucket, packed): each task's index entries, dealt into buckets by key. Those of hot keys are dealt
+    by set as well: bucket b's into b + buckets, b + 2 buckets, and so on."""
     schema = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, reach, sigs, sizes = [], [], [], []
+        keys, reach, much, sigs, sizes = [], [], [], [], []
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             k = np.concatenate(keys)
             r, lens = np.concatenate(reach).astype("<u4"), [len(x) for x in keys]
             s, n = np.repeat(np.array(sigs, "<i8"), lens), np.repeat(np.array(sizes, "<u4"), lens)
-            bucket = (k >> np.uint64(40)) % np.uint64(plan.buckets)
+            bucket, hot = (k >> np.uint64(40)) % np.uint64(plan.buckets), np.concatenate(much)
+            if hot.any():
+                part = common.mix64(s[hot].astype(np.uint64) + _PLACES[10]) % np.uint64(plan.parts)
+                bucket[hot] += (part + np.uint64(1)) * np.uint64(plan.buckets)
             order = np.argsort(bucket, kind="stable")
             bucket, k, r, s, n = bucket[order], (k & MASK40)[order], r[order], s[order], n[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = [*cuts[1:].tolist(), len(k)]
             low, high = (k & np.uint64(0xFFFFFFFF)).astype("<u4"), (k >> np.uint64(32)).astype("u1")
-            for x in (keys, reach, sigs, sizes):
+            for x in (keys, reach, much, sigs, sizes):
                 x.clear()
             packed = [b"".join(x[a:b].tobytes() for x in (s, low, n, r, high)) for a, b in zip(cuts.tolist(), ends, strict=True)]
             return common.batch(schema, [bucket[cuts].astype(np.int64).tolist(), packed])
@@ -254,9 +264,10 @@ def _postings(docs: DataFrame, plan: Plan) -> DataFrame:
                 if sig in seen:
                     continue
                 seen.add(sig)
-                k, r = plan.keys(found)
+                k, r, hot = plan.keys(found)
                 keys.append(k)
                 reach.append(r)
+                much.append(hot)
                 sigs.append(sig)
                 sizes.append(len(found))
                 held += len(k)
@@ -282,12 +293,14 @@ def _unpack(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     return high.astype(np.int64) << 32 | low.astype(np.int64), sig, n.astype(np.int64), r.astype(np.int64)
 
 
-def _lists(postings: DataFrame, percent: int) -> DataFrame:
+def _lists(postings: DataFrame, percent: int, buckets: int) -> DataFrame:
     """From the buckets, of each key met by two sets at least: kind 0, a pair (x, y) of the list's
-    first set and another that may link; kind 1, entries (list, set, size, reach) of longer lists."""
+    first set and another that may link; kind 1, entries (list, set, size, reach) of longer lists.
+    Of a hot list a task sees a part, so all its entries are kind 1, and its first is kind 2 as well."""
 
     def scan(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        hot = bucket >= buckets
         key, sig, n, r = _unpack(table.column("packed").to_pylist())
         order = np.lexsort((sig, -r, key))
         key, sig, n, r = key[order], sig[order], n[order], r[order]
@@ -298,7 +311,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
         group = np.repeat(np.arange(len(begin)), length)
         # no partner as small as the list's smallest set could do: out
         most = (100 + percent) * r // percent - n
-        keep = (length[group] > 1) & (np.minimum.reduceat(n, begin)[group] <= most)
+        keep = ((length[group] > 1) & (np.minimum.reduceat(n, begin)[group] <= most)) | hot
         key, sig, n, r = key[keep], sig[keep], n[keep], r[keep]
         if not len(key):
             return pa.table({c: pa.array([], pa.int64()) for c in ("kind", "list", "x", "y", "n", "r")})
@@ -306,24 +319,34 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
         length = np.diff(np.r_[begin, len(key)])
         head = np.repeat(begin, length)
         pair = (np.arange(len(key)) > head) & (np.minimum(r, r[head]) >= required(n, n[head], percent))
-        more = np.repeat(length, length) > 2
+        more = (np.repeat(length, length) > 2) | hot
+        first = begin[: len(begin) if hot else 0]
         zero = np.zeros(int(pair.sum()), np.int64)
-        name = common.mix64(key.astype(np.uint64) + np.full(1, bucket, np.uint64) * _PLACES[13]).view(np.int64)
+        name = common.mix64(key.astype(np.uint64) + np.full(1, bucket % buckets, np.uint64) * _PLACES[13]).view(np.int64)
         x, y = np.minimum(sig, sig[head])[pair], np.maximum(sig, sig[head])[pair]
         return pa.table(
             {
-                "kind": np.r_[zero, np.ones(int(more.sum()), np.int64)],
-                "list": np.r_[zero, name[more]],
-                "x": np.r_[x, sig[more]],
-                "y": np.r_[y, np.zeros(int(more.sum()), np.int64)],
-                "n": np.r_[zero, n[more]],
-                "r": np.r_[zero, r[more]],
+                "kind": np.r_[zero, np.ones(int(more.sum()), np.int64), np.full(len(first), 2)],
+                "list": np.r_[zero, name[more], name[first]],
+                "x": np.r_[x, sig[more], sig[first]],
+                "y": np.r_[y, np.zeros(int(more.sum()) + len(first), np.int64)],
+                "n": np.r_[zero, n[more], n[first]],
+                "r": np.r_[zero, r[more], r[first]],
             }
         )
 
     return postings.groupBy("bucket").applyInArrow(common.trimmed(scan), "kind bigint, list bigint, x bigint, y bigint, n bigint, r bigint")
 
 
+def _between_parts(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of a hot list's first set and the first ones of its parts, if they may link."""
+    best = heads.groupBy("list").agg(F.max(F.struct("r", "x", "n")).alias("b")).select(F.col("list").alias("of"), "b.*")
+    best = best.select("of", F.col("r").alias("br"), F.col("x").alias("bx"), F.col("n").alias("bn"))
+    both = heads.join(best, F.col("list") == F.col("of")).where("x <> bx")
+    both = both.where(F.least("r", "br") * (100 + percent) >= percent * (F.col("n") + F.col("bn")))
+    return both.select(F.least("x", "bx").alias("x"), F.greatest("x", "bx").alias("y"))
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sketches don't rule a link out: exact, as a sketch never overstates
     the symmetric difference. It needs about a bit for each shingle instead of eight bytes."""
@@ -468,7 +491,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries: int = 400_000, most_frequent: int = 1 << 17, cell_rows: int = 4096) -> DataFrame:
+def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries: int = 400_000, most_frequent: int = 1 << 17, cell_rows: int = 4096, hot_entries: int = 1_600_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words are runs of other than ASCII white space, with A-Z lower-cased; a set holds the distinct
@@ -482,7 +505,8 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     1. A first pass makes each row's set size and signature, and finds frequent shingles, which
        come last in the order of the sets (a hint of at most ``most_frequent``; any order is right).
     2. Sets are indexed by the heavy-light scheme of ``Plan.keys``; entries travel packed, in
-       buckets of about ``bucket_entries``, so few rows cross the shuffle, each once a task.
+       buckets of about ``bucket_entries``, so few rows cross the shuffle, each once a task. Lists of
+       shingles seen ``hot_entries`` times are dealt into parts by set, so no task holds a long list.
     3. Each list proposes its first set with each of the others; the best two proposals of a set
        are verified, by sketches that rule most out and then on true sets. Their components are found.
     4. Lists that still hold sets of different components propose all pairs across them that the
@@ -516,9 +540,14 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     rank = np.array([-r.n for r in frequent], np.int64)
     rank = np.argsort(np.lexsort((by_hash, -rank))) if len(rank) else rank
     plan = Plan(percent, words, boundary, max(8, int(entries / bucket_entries) + 1), by_hash[order], rank[order] if len(order) else rank, clashes)
-
-    lists = common.materialize(_lists(_postings(docs, plan), percent), "lists")
-    proposed = lists.where("kind = 0").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    much = [r for r in frequent if r.n >= hot_entries]
+    if much:
+        parts = min(plan.buckets, sum(r.n for r in much) // bucket_entries + 2)
+        plan = replace(plan, hot=np.sort(np.array([r.x for r in much], np.int64).view(np.uint64)), parts=parts)
+
+    lists = common.materialize(_lists(_postings(docs, plan), percent, plan.buckets), "lists")
+    proposed = lists.where("kind = 0").select("x", "y").unionByName(_between_parts(lists.where("kind = 2"), percent)) if plan.parts > 1 else lists.where("kind = 0")
+    proposed = proposed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     ends = proposed.select("x", "y", "n", F.explode(F.array("x", "y")).alias("z"))
     best = Window.partitionBy("z").orderBy(F.desc("n"), "x", "y")
     stars = common.materialize(ends.withColumn("i", F.row_number().over(best)).where("i <= 2").select("x", "y").distinct(), "stars")

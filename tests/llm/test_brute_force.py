@@ -268,6 +268,22 @@ def test_one_passage_in_many_unlike_texts(spark):
         assert got == dict(zip((i for i, _ in rows), brute_components(sets), strict=True))
 
 
+def test_long_lists_are_scanned_in_parts(spark):
+    """A family of near copies and a passage that fill whole lists: their lists are split, and nothing is lost."""
+    rng = np.random.default_rng(1)
+    base, rows = [f"b{j}" for j in range(60)], []
+    for i in range(90):
+        w = list(base[: int(rng.integers(6, 60))] if i % 3 == 0 else base)
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(0, len(w)))] = f"r{rng.integers(10**6)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    want = dict(zip((i for i, _ in rows), brute_components(brute_sets(rows)), strict=True))
+    for hot, most in ((16, 1 << 17), (40, 60), (10**9, 0)):
+        got = {r.doc_id: r.component_id for r in jaccard.join(d, bucket_entries=60, hot_entries=hot, most_frequent=most, cell_rows=10).collect()}
+        assert got == want
+
+
 def test_shingles_of_long_texts_and_long_words():
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in rng.integers(0, 5000, 40_000)]
