@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -17,6 +18,8 @@ MOST_CHARS = 10_000
 MODES = ("chunks", "documents", "auto")
 #: Query words that go into the plan as a filter, which prunes postings when they are read.
 MOST_WORDS = 2_000
+#: Hits that come to the driver and back as a table of the plan, so that what follows is small.
+MOST_HITS = 10_000
 #: (id, text, vector) of each query.
 Asked = list[tuple[str, str, list[float]]]
 
@@ -52,7 +55,7 @@ class Index:
 class Lists:
     dense: DataFrame
     sparse: DataFrame | None
-    dropped: DataFrame
+    dropped: DataFrame  # what the floor took off the dense list
 
 
 def error(message: str, query: str = "", **more: Any) -> dict[str, Any]:
@@ -98,6 +101,18 @@ def sparse_scores(index: Index, asked: Asked, chosen: Column) -> DataFrame:
     return R.bm25_scores(posts, index.stats.where(chosen), small, df, n_terms=len(terms))
 
 
+def brought(*frames: DataFrame) -> list[DataFrame]:
+    """Small frames, evaluated side by side, as tables of the plan."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        tables = list(pool.map(lambda df: df.toArrow(), frames))
+    return [df.sparkSession.createDataFrame(t, df.schema) for df, t in zip(frames, tables, strict=True)]
+
+
+def floor_of(corpus: str, config: Config, r: Request) -> float | None:
+    own = next(c.max_distance for c in config.corpora if c.name == corpus)
+    return next((x for x in (own, r.max_distance, config.search.max_distance) if x is not None), None)
+
+
 def lists(index: Index, asked: Asked, names: list[str], config: Config, r: Request, m: int, hybrid: bool, scoped: DataFrame | None = None) -> Lists:
     """Each corpus's best ``m`` by vector, less what the floor drops, and by BM25. ``scoped``
     (query_id, corpus) says which corpora a query asks, if not all of ``names``."""
@@ -109,10 +124,13 @@ def lists(index: Index, asked: Asked, names: list[str], config: Config, r: Reque
 
     vectors = chunk_hits(index.chunks.where(chosen & F.col("embedding").isNotNull())).select("corpus", "chunk_id", "ord", "embedding")
     dense = best(R.dense_scores(vectors, [(q, v) for q, _, v in asked], m))
+    sparse = best(sparse_scores(index, asked, chosen)) if hybrid else None
+    if len(asked) * len(names) * m <= MOST_HITS:
+        dense, *rest = brought(dense, *([sparse] if hybrid else []))
+        sparse = rest[0] if hybrid else None
     floors = R.effective_floor(index.corpora.where(chosen), r.max_distance, config.search.max_distance)
     marked = R.apply_floor(dense, floors)
     dense = R.top_per_corpus(marked.where("kept").drop("kept", "rank"), m)
-    sparse = best(sparse_scores(index, asked, chosen)) if hybrid else None
     return Lists(dense, sparse, marked.where("not kept"))
 
 
@@ -159,25 +177,31 @@ def search(index: Index, config: Config, r: Request, vector: list[float]) -> dic
     names = r.corpora or [c.name for c in config.corpora]
     hybrid = config.search.hybrid if r.hybrid is None else r.hybrid
     weights = index.corpora
-    floors = R.effective_floor(weights.where(F.col("corpus").isin(*names)), r.max_distance, config.search.max_distance)
-    floor = {x.corpus: x.floor for x in floors.where("floor is not null").collect()}
+    floor = {n: x for n in names if (x := floor_of(n, config, r)) is not None}
     if floor:
         require_cosine(index)
-    if not index.chunks.where(F.col("corpus").isin(*names)).take(1):
-        return error("No indexed content found. Index a corpus first.", r.query)
     if r.section_filter:
-        return _search_sections(index, config, r, vector, names, hybrid)
+        return _nothing(index, r, names) or _search_sections(index, config, r, vector, names, hybrid)
     m = 2 * r.top_k
     found = lists(index, [("q", r.query, vector)], names, config, r, m, hybrid)
-    hits = described(R.merge(_merged(found, index, config, m), weights, None).drop("place", "corpus_ord"), index)
+    hits = R.merge(_merged(found, index, config, m), weights, None).drop("place", "corpus_ord")
+    read = index
+    if m * len(names) <= MOST_HITS:  # then only the chunks of these hits are read
+        (hits,) = brought(hits)
+        ids = [x.chunk_id for x in hits.select("chunk_id").collect()]
+        if not ids and (wrong := _nothing(index, r, names)):
+            return wrong
+        read = replace(index, chunks=index.chunks.where(F.col("chunk_id").isin(ids)))
+    hits = described(hits, read)
     if config.search.toc_rerank:
         hits = R.rerank_by_headings(hits, F.lit(r.query), config.search.toc_rerank_weight)
     hits = R.merge(hits, weights, None)
     if r.dedup_sections:
         hits = R.merge(R.dedup_sections(hits).drop("place", "corpus_ord"), weights, None)
     hits = hits.where(F.col("place") <= r.top_k).withColumn("chunk_id", X.public_id(F.col("corpus"), F.col("chunk_id")))
-    dropped = found.dropped.count() if floor else 0
-    floor_keys = {"max_distance_applied": floor, "filtered_by_distance": dropped} if floor else {}
+    floor_keys = {"max_distance_applied": floor, "filtered_by_distance": found.dropped.count()} if floor else {}
+    if m * len(names) <= MOST_HITS:
+        (hits,) = brought(hits)
     if floor and not hits.take(1):
         return {"results": [], "total": 0, "query": r.query} | floor_keys
     if r.section_mode:
@@ -197,6 +221,12 @@ def search(index: Index, config: Config, r: Request, vector: list[float]) -> dic
     return {"results": rows, "total": len(rows), "query": r.query, "hybrid": hybrid, "return_mode": mode} | floor_keys
 
 
+def _nothing(index: Index, r: Request, names: list[str]) -> dict[str, Any] | None:
+    if index.chunks.where(F.col("corpus").isin(*names)).take(1):
+        return None
+    return error("No indexed content found. Index a corpus first.", r.query)
+
+
 def _search_sections(index: Index, config: Config, r: Request, vector: list[float], names: list[str], hybrid: bool) -> dict[str, Any]:
     """Search inside the sections a filter selects: all their vectors, and the sparse list's hits in
     them; without any of those, the weighted vector scores alone."""

@@ -32,8 +32,8 @@ CACHES = {
     "converted": "file_hash string, ext string, markdown string",
     "vectors": "key string, embedding array<float>, ts timestamp",
 }
-#: Kept in the order of their terms, so that a search reads the row groups of its terms.
-BY_TERM = ("postings", "terms")
+#: Kept in the order of a column, so that a search reads only the pages of its terms and hits.
+ORDERED = {"postings": "term", "terms": "term", "chunks": "chunk_id"}
 KEPT = 2
 
 
@@ -52,6 +52,7 @@ class Store:
         self.spark, self.root, self.lease = spark, root.rstrip("/"), lease
         self.folder = Folder(spark, self.root)
         self._whole: dict[int, bool] = {}
+        self._loaded: dict[int, dict[str, Any]] = {}
 
     # -- manifests -----------------------------------------------------------------------------
 
@@ -61,10 +62,12 @@ class Store:
         return sorted((int(n[9:-5]) for n in names if n[9:-5].isdigit()), reverse=True)
 
     def _load(self, number: int) -> dict[str, Any] | None:
-        try:
-            return json.loads(self.folder.read(f"manifest-{number}.json"))
-        except Exception:  # half written, or gone meanwhile
-            return None
+        if number not in self._loaded:
+            try:
+                self._loaded[number] = json.loads(self.folder.read(f"manifest-{number}.json"))
+            except Exception:  # half written, or gone meanwhile
+                return None
+        return self._loaded[number]
 
     def _dir(self, version: str, table: str, corpus: str) -> str:
         return f"{version}/{table}/corpus={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(corpus)}"
@@ -106,8 +109,8 @@ class Store:
 
         def write(item: tuple[str, DataFrame]) -> None:
             name, df = item
-            if name in BY_TERM:
-                df = df.repartitionByRange("corpus", "term").sortWithinPartitions("corpus", "term")
+            if name in ORDERED:
+                df = df.repartitionByRange("corpus", ORDERED[name]).sortWithinPartitions("corpus", ORDERED[name])
             df.write.partitionBy("corpus").parquet(f"{self.root}/{version}/{name}")
 
         with ThreadPoolExecutor(len(tables)) as pool:
