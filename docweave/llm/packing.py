@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common, tokens
 
@@ -64,8 +65,8 @@ class SumOfSquares:
 
 
 def close(capacity: int, windows: list[list[tuple]]) -> tuple[list[list[tuple]], list[list[tuple]]]:
-    """(full, open) windows at the end of a stream: a window joins one or two others that fill it
-    exactly, the fullest first, found in the array of windows by level."""
+    """(full, open) windows at the end of a stream: one joins one or two others that fill it exactly,
+    the fullest first, found in the array of windows by level."""
     by_level: list[list[list[tuple]]] = [[] for _ in range(capacity + 1)]
     for w in windows:
         by_level[sum(p[2] for p in w)].append(w)
@@ -92,9 +93,9 @@ def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None,
     id). It is cut into full windows and a rest; rests are placed by ``SumOfSquares``. Each task
     packs its own rows as they come, and writes them. Rests of windows that are open at its end (some
     1,500, whatever the task's size) go through one small exchange into lanes of about
-    ``lane_rests``, where the same rule places them. Of what a lane leaves open, windows that fill
-    each other join (``close``); only those without such others are laid end to end and cut anew
-    into full windows, and the last of them into powers of two, so nothing is padded. ``piece_ids`` has the piece's ids as little-endian unsigned 32-bit numbers.
+    ``lane_rests``, where the same rule places them, the longest first. Of the rests in windows that a lane leaves open,
+    two or three that fill a window exactly join (``close``); only the others are laid end to end
+    and cut into full windows, and the last of them into powers of two, so nothing is padded. ``piece_ids`` has the piece's ids as little-endian unsigned 32-bit numbers.
 
     Rows are packed as they are: repeated rows, ties and null ids get pieces each; a text of any
     length is encoded whole; other columns are ignored; an empty table gives no row.
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None,
                 place(packer, held, piece, first, out)
             if len(out) >= 512:
                 yield flush(out)
-        full, left = close(window, list(held.values()))
+        full, left = close(window, [[p] for pieces in held.values() for p in pieces])
         for number, pieces in enumerate(full, first + packer.made):
             out.extend(_laid(pieces, number))
         out.extend(_relay(left, window, first + packer.made + len(full)))
@@ -151,7 +152,8 @@ def pack(docs: DataFrame, *, window: int = 1024, vocabulary: str | None = None,
     placed = common.materialize(common.arrow_map(docs.select("doc_id", "text"), run, SCHEMA), "pieces", **PIECES)
     rests = placed.where("sequence_id is null")
     lanes = rests.count() // lane_rests + 1
-    return placed.where("sequence_id is not null").unionByName(common.arrow_map(rests.repartition(lanes), lane, SCHEMA))
+    dealt = rests.repartition(lanes).sortWithinPartitions(F.desc("length"), "doc_id", "start")
+    return placed.where("sequence_id is not null").unionByName(common.arrow_map(dealt, lane, SCHEMA))
 
 
 def _task() -> int:
