@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layout
+from .office import docx_to_markdown, markdown_table, pptx_to_markdown, xlsx_to_markdown
 
 TEXT = (".md", ".txt", ".markdown")
-#: Formats that need a converter handed in, as no library for them is a requirement.
-PLUGGABLE = (".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx")
+#: Formats that need a converter handed in: no library for them is a requirement.
+PLUGGABLE = (".pdf", ".doc", ".ppt", ".xls")
+OFFICE = {".docx": docx_to_markdown, ".xlsx": xlsx_to_markdown, ".pptx": pptx_to_markdown}
 
 
 class _Markdown(HTMLParser):
@@ -114,12 +116,7 @@ def html_to_markdown(text: str) -> str:
 
 
 def csv_to_markdown(text: str) -> str:
-    rows = [[c.replace("|", "\\|").replace("\n", " ") for c in r] for r in csv.reader(io.StringIO(text)) if r]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])
+    return markdown_table(list(csv.reader(io.StringIO(text))))
 
 
 def _zip_to_markdown(raw: bytes, convert: Callable[[str, bytes], str]) -> str:
@@ -141,6 +138,10 @@ def convert(name: str, raw: bytes, plugins: dict[str, Callable[[bytes], str]] |
         return plugins[ext](raw)
     if ext in TEXT:
         return raw.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+    if ext in OFFICE:
+        return OFFICE[ext](raw)
+    if ext in PLUGGABLE:
+        raise ValueError(f"No converter for {ext} files was handed in")
     text = raw.decode("utf-8", "replace")
     if ext in (".html", ".htm"):
         return html_to_markdown(text)
