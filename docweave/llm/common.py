@@ -151,8 +151,17 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB, where the session has the default of 64 MB: a batch stands in the JVM, in
+    the worker and, in parts, in Python at once. A bound that the session sets itself is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == "67108864b":
+        spark.conf.set(key, "4194304b")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
-    """``mapInArrow`` that trims its worker's memory when a task ends."""
+    """``mapInArrow`` in small batches that trims its worker's memory when a task ends."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)

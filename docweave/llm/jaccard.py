@@ -27,6 +27,7 @@ SUBSET = 2  # tokens of the subsets that small sets enumerate
 LARGEST_LIGHT = 64  # the boundary is sought below this size
 MASK40 = np.uint64((1 << 40) - 1)
 PAIR_ROWS = 512  # narrow rows that a pair of sets weighs as much as
+SKETCH_ROWS = 4  # and a set's sketch
 
 
 def _hashed(raw: np.ndarray) -> np.ndarray:
@@ -364,7 +365,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(near & (apart * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny")))).select("x", "y")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan, n_rows: int) -> DataFrame:
     """The pairs (x, y) of ``pairs`` that link, by the sizes of their true intersections.
 
     Only texts of sets in a pair are made into sets again: a bounded bitmap of their ids filters
@@ -372,7 +373,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, plan: Plan)
     """
     n_pairs = pairs.count()
     ends = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
-    used = common.materialize(ends.join(classes.select("sig", "rep"), "sig"), "used")
+    used = common.materialize(ends.join(classes.select("sig", "rep"), "sig"), "used", rows=n_rows)
     bits, places = common.bitmap(used, F.col("rep"), used.count())
     shared = docs.sparkSession.sparkContext.broadcast(places)
     schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("found", pa.list_(pa.int64()))])
@@ -411,7 +412,7 @@ def _apart(one: np.ndarray, others: dict[int, tuple[np.ndarray, np.ndarray]]) ->
             yield rows, np.bitwise_count(sketches[:, :size] ^ sketches[:, size:] ^ one).sum(axis=1, dtype=np.int64)
 
 
-def _cross_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, buckets: int, cell_rows: int = 4096) -> DataFrame:
+def _cross_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, buckets: int, n_entries: int, cell_rows: int = 4096) -> DataFrame:
     """Pairs of a list whose sets are in different components so far and that may still link, by what
     is left of them from the list's shingle on and by their sketches.
 
@@ -421,7 +422,7 @@ def _cross_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, perc
     """
     labelled = entries.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").select("list", "x", "n", "r", F.coalesce("label", "x").alias("label"))
     mixed = labelled.groupBy("list").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("x")).alias("h"), F.count(F.lit(1)).alias("size"))
-    mixed = common.materialize(mixed.where("a <> b").select("list", "h", F.ceil(F.col("size") / cell_rows).cast("int").alias("parts")), "mixed")
+    mixed = common.materialize(mixed.where("a <> b").select("list", "h", F.ceil(F.col("size") / cell_rows).cast("int").alias("parts")), "mixed", rows=n_entries)
     rows = labelled.join(mixed, "list").groupBy("h", "x").agg(F.max("r").alias("r"), F.first("n").alias("n"), F.first("label").alias("label"), F.max("parts").alias("parts"))
     rows = rows.join(classes.select(F.col("sig").alias("x"), "sketch"), "x")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -521,7 +522,7 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
 
     def grouped(rows: DataFrame) -> DataFrame:
         aggs = (F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"), F.min("sig2").alias("low"), F.max("sig2").alias("high"))
-        return common.materialize(rows.where("n_shingles > 0").groupBy("sig").agg(*aggs), "classes")
+        return common.materialize(rows.where("n_shingles > 0").groupBy("sig").agg(*aggs), "classes", rows=SKETCH_ROWS * n_rows)
 
     classes = grouped(rows)
     clashes = frozenset(r.sig for r in classes.where("low <> high").select("sig").collect())  # about n * n / 2 ** 65 of n sets
@@ -548,21 +549,23 @@ def join(docs: DataFrame, *, percent: int = 75, words: int = 5, bucket_entries:
     lists = common.materialize(_lists(_postings(docs, plan), percent, plan.buckets), "lists")
     proposed = lists.where("kind = 0").select("x", "y").unionByName(_between_parts(lists.where("kind = 2"), percent)) if plan.parts > 1 else lists.where("kind = 0")
     proposed = proposed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {r.kind: r["count"] for r in lists.groupBy("kind").count().collect()}
+    n_proposed = sum(kinds.get(k, 0) for k in (0, 2))
     ends = proposed.select("x", "y", "n", F.explode(F.array("x", "y")).alias("z"))
     best = Window.partitionBy("z").orderBy(F.desc("n"), "x", "y")
-    stars = common.materialize(ends.withColumn("i", F.row_number().over(best)).where("i <= 2").select("x", "y").distinct(), "stars")
-    likely = common.materialize(_plausible(stars, classes, percent), "likely")
-    links = _verified(docs, likely, classes, plan)
+    stars = common.materialize(ends.withColumn("i", F.row_number().over(best)).where("i <= 2").select("x", "y").distinct(), "stars", rows=2 * n_proposed)
+    likely = common.materialize(_plausible(stars, classes, percent), "likely", rows=SKETCH_ROWS * (n_rows + 2 * n_proposed))
+    links = _verified(docs, likely, classes, plan, n_rows)
     common.discard(likely)
     labels = components(links)
     # every proposal not verified yet, and every other pair across components
     rest = proposed.join(labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("label").alias("ly")), "y", "left")
     rest = rest.where(~F.coalesce("lx", "x").eqNullSafe(F.coalesce("ly", "y"))).select("x", "y")
-    cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, classes, percent, plan.buckets, cell_rows)
+    cross = _cross_pairs(lists.where("kind = 1").select("list", "x", "n", "r"), labels, classes, percent, plan.buckets, kinds.get(1, 0), cell_rows)
     late = common.materialize(_plausible(rest.union(cross).distinct().join(stars, ["x", "y"], "left_anti"), classes, percent), "late")
     common.discard(lists, stars)
     if not common.is_empty(late):
-        labels = components(links.union(_verified(docs, late, classes, plan)))
+        labels = components(links.union(_verified(docs, late, classes, plan, n_rows)))
     joined = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", "copies", F.coalesce("label", "sig").alias("label"))
     least_id = joined.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("sets"), F.max("copies").alias("most"))
     told = common.materialize(joined.join(least_id.where("sets > 1 or most > 1"), "label").select("sig", "copies", "component_id"), "told", rows=n_rows)
