@@ -74,11 +74,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(filename(path), r"^.+(\.[^.]+)$", 1))
 
 
-def normal_extension(x: Column) -> Column:
-    low = F.lower(x)
-    return F.when(F.startswith(low, F.lit(".")), low).otherwise(F.concat(F.lit("."), low))
-
-
 def join_hyphenated(x: Column) -> Column:
     return F.regexp_replace(x, r"(?<=[A-Za-z])-\s+(?=[A-Za-z])", "-")
 
@@ -97,10 +92,6 @@ def sanitize_error(x: Column, most: int = 300) -> Column:
     return F.when(F.length(hidden) > most, F.concat(F.substring(hidden, 1, most), F.lit("..."))).otherwise(hidden)
 
 
-def universal_newlines(x: Column) -> Column:
-    return F.regexp_replace(x, "\r\n?", "\n")
-
-
 def cache_key(model: str, text: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(model), text), 256)
 

@@ -6,6 +6,7 @@ rendered as markdown; C4 ``pages``; C5 text spans laid out from ``lineitem``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -542,7 +543,7 @@ def table_engine(spark: SparkSession, sf_dir: str) -> TableEngine:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _ENGINES:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base and not spark.sparkContext.master.startswith(("local[", "local")):
+        if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = base or "file://" + tempfile.mkdtemp(prefix="docweave-")
         config = Config(

@@ -174,10 +174,10 @@ def test_versions_without_a_manifest_go(spark, tmp_path):
 
 
 def test_lock_dies_with_its_process(spark, tmp_path):
-    store = Store(spark, str(tmp_path), lease=0.6)
+    store = Store(spark, str(tmp_path), lease=3)
     with store.lock("index"):
-        time.sleep(1.0)  # longer than the lease: it is renewed
-        with pytest.raises(LockedError, match="indexing in progress"), Store(spark, str(tmp_path), lease=0.6).lock("index"):
+        time.sleep(4)  # longer than the lease: it is renewed
+        with pytest.raises(LockedError, match="indexing in progress"), Store(spark, str(tmp_path), lease=3).lock("index"):
             pass
     assert not os.path.exists(tmp_path / "index.lock")
     held = {"owner": "x", "host": "elsewhere", "pid": 1, "until": time.time() + 60}
