@@ -57,7 +57,7 @@ class NoRandomAccess:
 
     def __post_init__(self) -> None:
         whole = np.issubdtype(self.queries.dtype, np.integer)
-        self.none = np.iinfo(self.queries.dtype).min if whole else -np.inf
+        self.none = np.iinfo(self.queries.dtype).min + 1 if whole else -np.inf  # its negative is a number too
         self.best = np.full((len(self.ids), self.k), self.none, self.queries.dtype)
         self.names = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
         self.up, self.down = np.maximum(self.queries, 0), np.minimum(self.queries, 0)
